@@ -10,7 +10,8 @@ the whole sequence where it has fewer. Documents with equal sets are one class,
    similarity shares a band but for a chance of ``MISS``.
 3. Verification in rounds. A round compares every member of a bucket with one pivot of it; verified links join
    components. A large group of near copies so takes a few comparisons a member, not all its pairs. What is then left, the
-   pairs of a bucket that no chain of links joins yet, is compared in full: nothing is capped, no candidate is dropped.
+   pairs of a bucket that no chain of links joins yet, is compared in blocks by the signatures: pairs whose share of equal
+   slots comes within ``SLACK`` of the similarity, 4.8 standard deviations at least, are verified. Nothing is capped.
 4. Components by alternating large-star and small-star steps on tables in the shared folder.
 """
 
@@ -28,6 +29,8 @@ from . import common
 
 #: Slots of a signature; chance that a pair at the similarity asked for shares no band; rounds with one pivot a bucket.
 SLOTS, MISS, PIVOT_ROUNDS = 252, 1e-5, 3
+#: How far the estimate of a pair may fall short of the similarity, and members of a block of a bucket.
+SLACK, BLOCK = 0.08, 512
 _GOLD, _A, _B, _C = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB, 0xD6E8FEB86659FD93))
 _NONE = np.uint64(0xFFFFFFFFFFFFFFFF)
 
@@ -139,7 +142,7 @@ def _groups(counts: np.ndarray, most: int) -> Iterator[slice]:
 
 
 def sketches(documents: DataFrame, width: int, similarity: float) -> DataFrame:
-    """Per document its set's size, digest and band keys (none for an empty set)."""
+    """Per document its set's size, digest, band keys (none for an empty set) and a byte of each slot."""
     rows = rows_of(similarity)
 
     def run(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -149,13 +152,15 @@ def sketches(documents: DataFrame, width: int, similarity: float) -> DataFrame:
             for part in _groups(np.array([len(x or "") // 6 + 1 for x in texts]), 100_000):
                 elements, counts = shingles(texts[part], width)
                 ends = np.cumsum(counts)
-                keys = band_keys(signatures(elements, counts), rows)
+                made = signatures(elements, counts)
+                keys = band_keys(made, rows)
+                short = [row.tobytes() for row in (made & np.uint64(0xFF)).astype(np.uint8)]
                 digests = [xxhash.xxh3_128_digest(elements[e - c : e].tobytes()) if c else None for e, c in zip(ends, counts, strict=True)]
                 lists = [row if c else [] for row, c in zip(keys, counts, strict=True)]
-                yield pa.RecordBatch.from_arrays([ids.slice(at, len(counts)), pa.array(counts), pa.array(digests, pa.binary()), pa.array(lists, pa.list_(pa.int64()))], ["doc_id", "n_shingles", "digest", "bands"])
+                yield pa.RecordBatch.from_arrays([ids.slice(at, len(counts)), pa.array(counts), pa.array(digests, pa.binary()), pa.array(lists, pa.list_(pa.int64())), pa.array(short, pa.binary())], ["doc_id", "n_shingles", "digest", "bands", "slots"])
                 at += len(counts)
 
-    return documents.select("doc_id", "text").mapInArrow(run, "doc_id long, n_shingles long, digest binary, bands array<long>")
+    return documents.select("doc_id", "text").mapInArrow(run, "doc_id long, n_shingles long, digest binary, bands array<long>, slots binary")
 
 
 def _sets(documents: DataFrame, width: int) -> DataFrame:
@@ -191,6 +196,59 @@ def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
 
 
+def _similar(rows: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) of documents of a bucket and different groups whose signatures and sizes allow the similarity, each from the first band that they share.
+
+    ``rows``: key, band, doc_id, n_shingles, group, slots. Members of a large bucket are dealt to blocks, and every two blocks meet once.
+    """
+    per_band = rows_of(percent / 100)
+    least = int(np.ceil(SLOTS * (percent / 100 - SLACK)))
+
+    def pairs_of(ids: np.ndarray, sizes: np.ndarray, groups: np.ndarray, slots: np.ndarray, blocks: np.ndarray, band: int) -> Iterator[tuple]:
+        apart = blocks.min() != blocks.max()
+        for k in range(len(ids) - 1):
+            rest = np.arange(k + 1, len(ids))
+            rest = rest[(groups[rest] != groups[k]) & (100 * np.minimum(sizes[rest], sizes[k]) >= percent * np.maximum(sizes[rest], sizes[k])) & (ids[rest] != ids[k])]
+            if apart:
+                rest = rest[blocks[rest] != blocks[k]]
+            if len(rest):
+                equal = slots[rest] == slots[k]
+                good = equal.sum(1) >= least
+                if band:
+                    good &= ~equal[:, : band * per_band].reshape(len(rest), band, per_band).all(2).any(1)
+                for at in rest[good]:
+                    yield max(ids[k], ids[at]), min(ids[k], ids[at])
+
+    def run(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: pa.Table | None = None
+
+        def out(table: pa.Table) -> Iterator[pa.RecordBatch]:
+            keys = np.stack([table.column(k).to_numpy() for k in range(3)], 1)
+            edges = np.flatnonzero(np.append(True, (keys[1:] != keys[:-1]).any(1)))
+            ids, sizes, groups, blocks, band = (table.column(k).to_numpy() for k in ("doc_id", "n_shingles", "group", "block", "band"))
+            slots = np.frombuffer(b"".join(table.column("slots").to_pylist()), np.uint8).reshape(-1, SLOTS)
+            found = [p for a, b in zip(edges, [*edges[1:], len(keys)], strict=True) if b - a > 1 for p in pairs_of(ids[a:b], sizes[a:b], groups[a:b], slots[a:b], blocks[a:b], int(band[a]))]
+            if found:
+                yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in found], pa.int64()), pa.array([y for _, y in found], pa.int64())], ["a", "b"])
+
+        for frame in frames:  # rows of a bucket come in a row; the last one of a frame may go on in the next
+            table = pa.Table.from_batches([frame]) if held is None else pa.concat_tables([held, pa.Table.from_batches([frame])])
+            last = [table.column(k)[-1].as_py() for k in range(3)]
+            keys = np.stack([table.column(k).to_numpy() for k in range(3)], 1)
+            cut = int(np.flatnonzero((keys == np.array(last)).all(1))[0])
+            if cut:
+                yield from out(table.slice(0, cut))
+            held = table.slice(cut)
+        if held is not None:
+            yield from out(held)
+
+    sizes = rows.groupBy("key").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("n"))
+    dealt = rows.join(sizes, "key").withColumn("block", F.pmod(F.xxhash64("doc_id"), F.col("n")).cast("int"))
+    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("n") - 1))).select("key", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"), "block", "band", "doc_id", "n_shingles", "group", "slots")
+    dealt = dealt.repartition(common.partitions(rows.sparkSession), "key", "lo", "hi").sortWithinPartitions("key", "lo", "hi")
+    return dealt.mapInArrow(run, "a long, b long")
+
+
 def _mark(edges: DataFrame) -> tuple:
     return tuple(edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
 
@@ -225,9 +283,9 @@ def near_duplicates(documents: DataFrame, width: int = 5, percent: int = 80) ->
     classes = some.groupBy("digest").agg(F.min("doc_id").alias("rep"))
     of_class = common.stored(some.select("doc_id", "digest").distinct().join(classes, "digest").select("doc_id", "rep"), "classes")
     reps = some.join(of_class.where("doc_id = rep").select("doc_id").distinct(), "doc_id", "left_semi")
-    rows = reps.select("doc_id", "n_shingles", F.explode("bands").alias("key"))
-    shared = rows.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).where("lo <> hi").select("key")
-    buckets = common.stored(rows.join(shared, "key").select("key", "doc_id", "n_shingles"), "buckets")
+    rows = reps.select("doc_id", "n_shingles", F.posexplode("bands").alias("band", "key"))
+    shared = rows.groupBy("key").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).where("lo <> hi").select("key")
+    buckets = common.stored(rows.join(shared, "key").select("key", F.col("band").cast("int").alias("band"), "doc_id", "n_shingles"), "buckets")
     members = buckets.select("doc_id").distinct()
     texts = documents.select("doc_id", "text").join(members, "doc_id", "left_semi")
     sets = common.stored(_sets(texts, width), "sets")
@@ -241,9 +299,9 @@ def near_duplicates(documents: DataFrame, width: int = 5, percent: int = 80) ->
         if turn < PIVOT_ROUNDS:
             by = F.xxhash64("doc_id", F.lit(turn)) if not turn else F.xxhash64("doc_id", "key", F.lit(turn))
             pivot = now.groupBy("key").agg(F.min_by(F.struct("doc_id", "n_shingles", "group"), F.struct(by, "doc_id")).alias("p")).select("key", F.col("p.doc_id").alias("other"), F.col("p.n_shingles").alias("m_shingles"), F.col("p.group").alias("other_group"))
+            pairs = now.join(pivot, "key").where((F.col("group") != F.col("other_group")) & fits).select(F.greatest("doc_id", "other").alias("a"), F.least("doc_id", "other").alias("b")).distinct()
         else:  # all that is left
-            pivot = now.select("key", F.col("doc_id").alias("other"), F.col("n_shingles").alias("m_shingles"), F.col("group").alias("other_group"))
-        pairs = now.join(pivot, "key").where((F.col("group") != F.col("other_group")) & fits).select(F.greatest("doc_id", "other").alias("a"), F.least("doc_id", "other").alias("b")).distinct()
+            pairs = _similar(now.join(reps.select("doc_id", "slots"), "doc_id"), percent)
         if done is not None:
             pairs = pairs.join(done, ["a", "b"], "left_anti")
         pairs = common.stored(pairs, "pairs")
