@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from . import common
 
 #: Slots of a signature; chance that a pair at the similarity asked for shares no band; rounds with one pivot a bucket.
-SLOTS, MISS, PIVOT_ROUNDS = 252, 1e-5, 3
+SLOTS, MISS, PIVOT_ROUNDS = 252, 1e-5, 2
 #: How far the estimate of a pair may fall short of the similarity, and members of a block of a bucket.
 SLACK, BLOCK = 0.08, 512
 _GOLD, _A, _B, _C = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB, 0xD6E8FEB86659FD93))
@@ -51,7 +51,7 @@ def rows_of(similarity: float) -> int:
 class _Words(dict):
     def __missing__(self, word: bytes) -> int:
         found = xxhash.xxh3_64_intdigest(word)
-        if len(self) < 500_000:
+        if len(self) < 200_000:
             self[word] = found
         return found
 
@@ -149,7 +149,7 @@ def sketches(documents: DataFrame, width: int, similarity: float) -> DataFrame:
         for frame in frames:
             ids, texts = frame.column(0), frame.column(1).to_pylist()
             at = 0
-            for part in _groups(np.array([len(x or "") // 6 + 1 for x in texts]), 100_000):
+            for part in _groups(np.array([len(x or "") // 6 + 1 for x in texts]), 50_000):
                 elements, counts = shingles(texts[part], width)
                 ends = np.cumsum(counts)
                 made = signatures(elements, counts)
@@ -169,7 +169,7 @@ def _sets(documents: DataFrame, width: int) -> DataFrame:
     def run(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for frame in frames:
             ids, texts, at = frame.column(0), frame.column(1).to_pylist(), 0
-            for part in _groups(np.array([len(x or "") // 6 + 1 for x in texts]), 500_000):
+            for part in _groups(np.array([len(x or "") // 6 + 1 for x in texts]), 200_000):
                 elements, counts = shingles(texts[part], width)
                 ends = np.cumsum(counts)
                 yield pa.RecordBatch.from_arrays([ids.slice(at, len(counts)), pa.array([elements[e - c : e].tobytes() for e, c in zip(ends, counts, strict=True)], pa.binary())], ["doc_id", "elements"])
