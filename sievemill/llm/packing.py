@@ -82,9 +82,7 @@ def pieces(documents: DataFrame, tokenizer: str, capacity: int = CAPACITY, end:
         for frame in frames:
             ids, texts = frame.column(0), frame.column(2).to_pylist()
             for part in tokens.batches(texts):
-                flat, counts = coder.encode_all(texts[part])
-                ends = np.cumsum(counts)
-                flat, counts = np.insert(flat, ends, end), counts + 1
+                flat, counts = coder.encode_all(texts[part], end)
                 ends = np.cumsum(counts)
                 n = -(-counts // capacity)
                 row = np.repeat(np.arange(len(counts)), n)

@@ -29,13 +29,6 @@ LIMIT = 512
 SHORT = 64
 
 
-def _alphabet() -> list[str]:
-    """The character that stands for each byte: printable ones for themselves, the others from 256 on."""
-    own = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
-    rest = iter(range(256, 512))
-    return [chr(b) if b in own else chr(next(rest)) for b in range(256)]
-
-
 class PrefixCounter:
     """Counts for the byte-level BPE file at ``path``. ``keep``: chunks and prefixes that it remembers; then it starts anew."""
 
@@ -47,7 +40,7 @@ class PrefixCounter:
 
         self.library, self.keep = Tokenizer.from_file(path), keep
         self.model = self.library.model
-        self.letters = _alphabet()
+        self.letters = tokens.byte_letters()
         self.specials = tuple(x.content for x in self.library.get_added_tokens_decoder().values())
         added = {*self.library.get_added_tokens_decoder()}
         self.text_of = {number: token for token, number in self.library.get_vocab().items() if number not in added}
@@ -173,26 +166,23 @@ class PrefixCounter:
                 at = b
         return np.concatenate(out)
 
-    def _total(self, chunk: str) -> int:
-        found = self.totals.get(chunk)
+    def _total(self, key: str) -> int:
+        found = self.totals.get(key)
         if found is None:
-            found = sum(self._count(x.encode()) for x in self.piece.findall(chunk))
-            if len(chunk) <= 64:
-                self.totals[chunk] = found
+            found = sum(self._count(x.encode()) for x in self.piece.findall(tokens.chunk_text(key)))
+            if len(key) <= 64:
+                self.totals[key] = found
         return found
 
     def stored(self, text: str | None) -> tuple[list[str], np.ndarray]:
-        """The chunks of a text and the count at the end of each: the table that answers questions about prefixes."""
+        """Keys of the chunks of a text and the count at the end of each: the table that answers questions about prefixes."""
         if not text:
             return [], np.zeros(0, np.int64)
         if len(self.states) + len(self.totals) > self.keep:
             self._clear()
         parts = tokens.chunks(text, self.specials)
         if parts is None:
-            return [text], self.counts(text)[-1:]
-        led = text[0] not in " \n"
-        if led:
-            parts[0] = parts[0][1:]
+            return [tokens.HEAD + text], self.counts(text)[-1:]
         total = self.totals
         try:
             n = [total[x] for x in parts]
@@ -203,10 +193,10 @@ class PrefixCounter:
     def fits(self, parts: list[str], ends: np.ndarray, budget: int) -> int:
         """Code points of the longest prefix of at most ``budget`` tokens, by the stored table: only one chunk's prefixes are looked at."""
         k = int(np.searchsorted(ends, budget, side="right"))
-        done = sum(map(len, parts[:k]))
+        done = sum(len(tokens.chunk_text(x)) for x in parts[:k])
         if k == len(parts):
             return done
-        inside = self.counts(parts[k]) + (int(ends[k - 1]) if k else 0)
+        inside = self.counts(tokens.chunk_text(parts[k])) + (int(ends[k - 1]) if k else 0)
         return done + int(np.flatnonzero(inside <= budget)[-1])
 
 

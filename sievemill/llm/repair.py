@@ -48,14 +48,10 @@ def compress(ids: np.ndarray, end: int = END, rounds: int = ROUNDS) -> tuple[np.
             break
         keys = (symbols[:-1].astype(np.uint32) << np.uint32(16)) | symbols[1:]
         places = _spread(keys)
-        rough = np.bincount(places, minlength=_TABLE)  # pairs of a place together: a bound that drops most pairs before the sort
-        likely = keys[(rough >= WORTH)[places]]
-        if not len(likely):
-            break
-        likely.sort()
-        edge = np.flatnonzero(np.concatenate([[True], likely[1:] != likely[:-1]]))
-        counts = np.diff(np.append(edge, len(likely)))
-        pairs = likely[edge]
+        likely = np.sort(keys)
+        last = np.flatnonzero(np.append(likely[1:] != likely[:-1], True))
+        counts = np.diff(last, prepend=-1)
+        pairs = likely[last]
         good = (counts >= WORTH) & ((pairs >> np.uint32(16)) != end)
         counts, pairs = counts[good], pairs[good]
         best = np.argsort(-counts, kind="stable")[: min(65_535 - free, 4096)]
@@ -186,13 +182,11 @@ def write_blocks(documents: DataFrame, tokenizer: str, end: int = END, block: in
         for frame in frames:
             keys, texts = frame.column(0).to_pylist(), frame.column(1).to_pylist()
             for part in tokens.batches(texts, 1 << 20):
-                flat, n = coder.encode_all(texts[part])
-                ends = np.cumsum(n)
-                with_end = np.insert(flat, ends, end)
+                flat, n = coder.encode_all(texts[part], end)
                 names += keys[part]
-                ids.append(with_end)
-                counts.append(n + 1)
-                held += len(with_end)
+                ids.append(flat)
+                counts.append(n)
+                held += len(flat)
                 if held >= block:
                     yield out()
                     number, held, names, ids, counts = number + 1, 0, [], [], []

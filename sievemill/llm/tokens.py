@@ -12,6 +12,7 @@ import re
 import zlib
 
 import numpy as np
+import regex
 
 #: White space beside the space and the line feed, as Unicode has it, and the separators that some regex engines add.
 _OTHER_SPACE = re.compile("[\t\x0b\x0c\r\x1c-\x1f\x85\xa0 ᠎ -​    　﻿]")
@@ -19,20 +20,44 @@ _PAIRS = ("  ", "\n\n", " \n", "\n ")
 
 
 def chunks(text: str, specials: tuple[str, ...] = ("<|",)) -> list[str] | None:
-    """The chunks of ``text``, or None where only the whole text is safe. Each starts with white space: the first gets a line feed where the text has none."""
-    if any(x in text for x in _PAIRS) or any(x in text for x in specials) or _OTHER_SPACE.search(text):
+    """Keys of the chunks of a text that isn't empty, or None where only the whole text is safe.
+
+    A key is what follows the chunk's space, or the chunk itself where it starts with a line feed; the first one, where
+    the text doesn't start with white space, has ``HEAD`` in front.
+    """
+    if "  " in text or "\n\n" in text or " \n" in text or "\n " in text or _OTHER_SPACE.search(text) or any(x in text for x in specials):
         return None
-    if "\n" not in text:
-        head, *out = text.split(" ")
-        out = [" " + x for x in out]
-        return ["\n" + head, *out] if head else out
-    out = []
-    for k, line in enumerate(text.split("\n")):
-        head, *rest = line.split(" ")
-        if head or k:
-            out.append("\n" + head)
-        out += [" " + x for x in rest]
-    return out
+    parts = text.replace("\n", " \n").split(" ")
+    if parts[0]:
+        parts[0] = HEAD + parts[0]
+    else:
+        del parts[0]
+    return parts
+
+
+#: No text with this character is split.
+HEAD = "\x1f"
+
+
+def chunk_text(key: str) -> str:
+    """The chunk of a key; a first one without its mark."""
+    return key if key[:1] == "\n" else key[1:] if key[:1] == HEAD else " " + key
+
+
+_LEADS, _ENDS = ("\n", HEAD, ""), ".,;:!?"
+_ONE_KIND = regex.compile(r" ?(?:\p{L}|\uFFFD)+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+|'(?:s|t|re|ve|m|ll|d)")
+
+
+def _crosses(token: str) -> bool:
+    """Whether a token has characters of several kinds: letters, digits, white space, others."""
+    return _ONE_KIND.fullmatch(token) is None
+
+
+def byte_letters() -> list[str]:
+    """The character that stands for each byte in a byte-level vocabulary: printable ones for themselves, the others from 256 on."""
+    own = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
+    rest = iter(range(256, 512))
+    return [chr(b) if b in own else chr(next(rest)) for b in range(256)]
 
 
 class _Index(dict):
@@ -48,11 +73,11 @@ class _Index(dict):
 class ChunkCoder:
     """Ids of texts. ``keep``: chunks that it remembers, about 250 bytes each; then it starts anew."""
 
-    def __init__(self, path: str, keep: int = 700_000):
+    def __init__(self, path: str, keep: int = 1_200_000):
         import os
 
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
         self.library, self.keep = Tokenizer.from_file(path), keep
         self.specials = tuple(x.content for x in self.library.get_added_tokens_decoder().values())
@@ -61,72 +86,102 @@ class ChunkCoder:
         self.n_bytes = np.zeros(max(vocabulary.values()) + 1, np.int64)
         for token, number in vocabulary.items():
             self.n_bytes[number] = len(token)
+        letters = byte_letters()
+        self.letters = {b: x for b, x in enumerate(letters) if b != 10}
+        #: The same model on texts in byte letters, parted at line feeds: without the pattern. It gives the same ids where no
+        #: token goes over the pattern's bounds, a text has no apostrophe, whose contractions the pattern cuts off, and what it
+        #: has beyond ASCII are letters: tokens may hold parts of characters.
+        self.fast = None
+        byte_of = {x: bytes([b]) for b, x in enumerate(letters)}
+        if all(_crosses(b"".join(map(byte_of.get, t)).decode(errors="replace")) is False for t, n in vocabulary.items() if n not in self.library.get_added_tokens_decoder()):
+            self.fast = Tokenizer.from_file(path)
+            self.fast.pre_tokenizer = pre_tokenizers.WhitespaceSplit()
         self._clear()
 
     def _clear(self) -> None:
         self.at = _Index()
-        self.at.count, self.at.new = 0, []
+        self.at.new = []
         self.starts, self.lengths, self.n = np.zeros(1 << 12, np.int64), np.zeros(1 << 12, np.int64), 0
         self.flat, self.used = np.zeros(1 << 14, np.uint32), 0
+        self._add(np.zeros(1, np.uint32))
+        self.at.count = 1
 
-    def _add(self, ids: np.ndarray, lengths: np.ndarray) -> None:
-        while self.n + len(lengths) > len(self.starts):
+    def _room(self, chunks_: int, ids: int) -> None:
+        while self.n + chunks_ > len(self.starts):
             self.starts, self.lengths = np.concatenate([self.starts, self.starts * 0]), np.concatenate([self.lengths, self.lengths * 0])
-        while self.used + len(ids) > len(self.flat):
+        while self.used + ids > len(self.flat):
             self.flat = np.concatenate([self.flat, self.flat * 0])
-        self.lengths[self.n : self.n + len(lengths)] = lengths
-        self.starts[self.n : self.n + len(lengths)] = self.used + np.cumsum(lengths) - lengths
+
+    def _add(self, ids: np.ndarray) -> None:
+        """One chunk more."""
+        self._room(1, len(ids))
+        self.starts[self.n], self.lengths[self.n] = self.used, len(ids)
         self.flat[self.used : self.used + len(ids)] = ids
-        self.n, self.used = self.n + len(lengths), self.used + len(ids)
+        self.n, self.used = self.n + 1, self.used + len(ids)
 
     def _learn(self) -> None:
-        """The new chunks in one text: they stay apart there, and the bytes of the tokens tell where each ends."""
+        """The new chunks in a few texts: they stay apart there, and the bytes of the tokens tell where each ends. A first chunk gets a line feed, whose id goes."""
         new, self.at.new = self.at.new, []
-        for k in range(0, len(new), 2000):
-            part = new[k : k + 2000]
-            ids = np.array(self.library.encode("".join(part), add_special_tokens=False).ids, np.uint32)
-            ends = np.cumsum([len(x.encode()) for x in part])
-            self._add(ids, np.diff(np.searchsorted(np.cumsum(self.n_bytes[ids]), ends, side="right"), prepend=0))
-
-    def encode_all(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
-        """The ids of all texts in a row as unsigned 32-bit integers, and how many each has; none for null or empty."""
+        first = self.n
+        lengths, starts = np.zeros(len(new), np.int64), np.zeros(len(new), np.int64)
+        plain = np.array([self.fast is not None and x[:1] not in _LEADS and "'" not in x and (x.isascii() or x.rstrip(_ENDS).isalpha()) for x in new], bool)
+        for some, quick in ((np.flatnonzero(plain), True), (np.flatnonzero(~plain), False)):
+            for k in range(0, len(some), 2000):
+                rows = some[k : k + 2000]
+                if quick:  # white space between byte letters parts pieces
+                    text = "\n".join([" " + new[x] for x in rows]).encode().decode("latin-1").translate(self.letters)
+                    ids = self.fast.encode_batch_fast([text], add_special_tokens=False)[0].ids
+                    sizes, heads = list(map(len, text.split("\n"))), 0
+                else:
+                    part = ["\n" + new[x][1:] if new[x][:1] == HEAD else chunk_text(new[x]) for x in rows]
+                    ids = self.library.encode("".join(part), add_special_tokens=False).ids
+                    sizes, heads = [len(x.encode()) for x in part], np.array([new[x][:1] == HEAD for x in rows], np.int64)
+                ids = np.array(ids, np.uint32)
+                n = np.diff(np.searchsorted(np.cumsum(self.n_bytes[ids]), np.cumsum(sizes), side="right"), prepend=0)
+                lengths[rows], starts[rows] = n - heads, self.used + np.cumsum(n) - n + heads
+                self._room(0, len(ids))
+                self.flat[self.used : self.used + len(ids)] = ids
+                self.used += len(ids)
+        self._room(len(new), 0)
+        self.starts[first : first + len(new)], self.lengths[first : first + len(new)] = starts, lengths
+        self.n += len(new)
+
+    def encode_all(self, texts: list[str | None], end: int | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts in a row as unsigned 32-bit integers, and how many each has; none for null or empty. ``end`` follows each text."""
         if self.n > self.keep:
             self._clear()
-        index, counts, led, whole = [], np.zeros(len(texts), np.int64), np.zeros(len(texts), bool), []
+        index, counts, whole = [], np.zeros(len(texts), np.int64), []
+        extra = np.zeros(0 if end is None else 1, np.int64)  # chunk 0 is the end id, set below
+        find, at = self.at.__getitem__, 0
         for k, text in enumerate(texts):
-            if not text:
-                continue
-            parts = chunks(text, self.specials)
+            parts = chunks(text, self.specials) if text else []
             if parts is None:
-                index.append(-1)
-                whole.append((len(index) - 1, text))
+                whole.append((at, text))
+                index.append(extra[:0] if end is None else extra)
+                index.insert(-1, np.zeros(1, np.int64))
                 counts[k] = 1
             else:
-                index += map(self.at.__getitem__, parts)
+                index += (np.fromiter(map(find, parts), np.int64, len(parts)), extra)
                 counts[k] = len(parts)
-                led[k] = text[0] not in " \n"
+            counts[k] += len(extra)
+            at += int(counts[k])
         if self.at.new:
             self._learn()
-        index = np.array(index, np.int64)
-        for at, text in whole:
-            index[at] = self.n
+        index = np.concatenate(index) if index else extra[:0]
+        for place, text in whole:
+            index[place] = self.n
             ids = np.array(self.library.encode(text, add_special_tokens=False).ids, np.uint32)
-            self._add(ids, np.array([len(ids)]))
+            self._add(ids)
             self.at.count += 1
         if not len(index):
             return np.zeros(0, np.uint32), counts
+        if end is not None:
+            self.flat[0] = end
         lengths = self.lengths[index]
         ends = np.cumsum(lengths)
         where = np.repeat(self.starts[index] - ends + lengths, lengths)
         where += np.arange(ends[-1])
-        out = self.flat[where]
-        ends = np.concatenate([[0], ends])[np.cumsum(counts)]
-        starts = np.concatenate([[0], ends[:-1]])
-        if led.any():  # the line feed in front goes
-            keep = np.ones(len(out), bool)
-            keep[starts[led]] = False
-            out = out[keep]
-        return out, ends - starts - led
+        return self.flat[where], np.diff(np.concatenate([[0], ends])[np.cumsum(counts)], prepend=0)
 
     def encode(self, text: str | None) -> np.ndarray:
         return self.encode_all([text])[0]

@@ -14,7 +14,7 @@ from .fixtures import documents, empty
 
 PATH = public_tokenizers.path("byte_bpe_50k.json")
 LIBRARY = Tokenizer.from_file(PATH)
-TEXTS = st.text(alphabet=st.one_of(st.sampled_from("ab 's\n\tvre1!é \x1c<|endoftext|>日"), st.characters(blacklist_categories=["Cs"])), max_size=60)
+TEXTS = st.text(alphabet=st.one_of(st.sampled_from("ab 's\n\tvre1!é×’。n. \x1c<|endoftext|>日"), st.characters(blacklist_categories=["Cs"])), max_size=60)
 
 
 def ids(text):
