@@ -64,4 +64,5 @@ def _within(documents: DataFrame, keys: list) -> DataFrame:
 def op8_systematic(spark, sf_dir: str) -> DataFrame:
     """The mix of all documents: doc_id, size, source_size, target, taken."""
     documents = common.table(spark, sf_dir, "documents").select("doc_id", "source", common.n_words(F.col("text")).alias("size"))
+    documents = common.stored(documents, "sizes")  # the mix reads the sizes several times, the texts once
     return mix(documents, "size").select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).cast("long").alias("taken"), F.col("copies"))
