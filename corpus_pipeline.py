@@ -35,7 +35,8 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents as often as the mix takes them."""
     names = docs.columns
     keyed = docs.withColumn("__h", F.xxhash64("text"))
-    taken = mixing.mix(keyed.select("doc_id", "source", "__h", common.n_words(F.col("text")).alias("__size")), "__size")
+    sizes = common.stored(keyed.select("doc_id", "source", "__h", common.n_words(F.col("text")).alias("__size")), "sizes")
+    taken = mixing.mix(sizes, "__size")
     copies = taken.groupBy("doc_id", "source", "__h").agg(F.sum("copies").alias("__n"), F.count(F.lit(1)).alias("__rows")).where("__n > 0")
     copies = copies.select(*[F.col(k).alias(f"__{k}_") for k in ("doc_id", "source", "__h")], "__n", "__rows")
     found = keyed.join(copies, keyed["doc_id"].eqNullSafe(F.col("__doc_id_")) & keyed["source"].eqNullSafe(F.col("__source_")) & (keyed["__h"] == F.col("____h_")))

@@ -135,6 +135,7 @@ class _Scorer:
         return self
 
     def score(self, texts: pd.Series) -> pd.Series:
+        common.claim("codes", _CODES.clear)
         x = np.array([self.inputs(t or "") for t in texts], float).reshape(len(texts), len(self.mean))
         z = (x - self.mean) / self.scale @ self.weights[:-1] + self.weights[-1]
         return pd.Series(1 / (1 + np.exp(-np.clip(z, -30, 30))))
@@ -169,7 +170,7 @@ class _Codes(dict):
 
     def __missing__(self, word: bytes) -> bytes:
         found = b"".join(map(xxhash.xxh3_128_digest, _units(word)))
-        if len(self) < 500_000:
+        if len(self) < 300_000:
             self[word] = found
         return found
 

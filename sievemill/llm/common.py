@@ -13,6 +13,16 @@ from pyspark.sql import Window as W
 WORD = r"[^\x20\x09-\x0D]+"
 
 
+_CLAIMS: dict = {}
+
+
+def claim(name: str, clear) -> None:
+    """Makes ``name`` the one that keeps a cache in this Python worker: those of other operators, which a reused worker still holds, are cleared."""
+    for other in [x for x in _CLAIMS if x != name]:
+        _CLAIMS.pop(other)()
+    _CLAIMS[name] = clear
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

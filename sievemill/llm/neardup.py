@@ -61,6 +61,7 @@ _WORDS = _Words()
 
 def shingles(texts: list[str | None], width: int) -> tuple[np.ndarray, np.ndarray]:
     """The distinct shingles of all texts as 64-bit hashes, sorted within each text, and how many each text has."""
+    common.claim("words", _WORDS.clear)
     words = [text.encode().lower().split() if text else [] for text in texts]
     counts = np.fromiter(map(len, words), np.int64, len(words))
     total = int(counts.sum())

@@ -205,6 +205,7 @@ _COUNTERS: dict[str, PrefixCounter] = {}
 
 def counter(path: str) -> PrefixCounter:
     """One a Python worker and file."""
+    common.claim("prefix", _COUNTERS.clear)
     if path not in _COUNTERS:
         _COUNTERS[path] = PrefixCounter(path)
     return _COUNTERS[path]

@@ -14,6 +14,8 @@ import zlib
 import numpy as np
 import regex
 
+from . import common
+
 #: White space beside the space and the line feed, as Unicode has it, and the separators that some regex engines add.
 _OTHER_SPACE = re.compile("[\t\x0b\x0c\r\x1c-\x1f\x85\xa0 ᠎ -​    　﻿]")
 _PAIRS = ("  ", "\n\n", " \n", "\n ")
@@ -192,6 +194,7 @@ _CODERS: dict[str, ChunkCoder] = {}
 
 def coder(path: str) -> ChunkCoder:
     """One a Python worker and file."""
+    common.claim("tokens", _CODERS.clear)
     if path not in _CODERS:
         _CODERS[path] = ChunkCoder(path)
     return _CODERS[path]
