@@ -47,7 +47,8 @@ def mix(documents: DataFrame, size: str, weights: tuple = WEIGHTS, share: float
     names = documents.columns
     placed = _within(documents, [-F.col(size), F.col("doc_id"), F.xxhash64(*names)])
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
-    offset = F.pmod(F.xxhash64(F.coalesce(F.col("source"), F.lit("")), F.col("source").isNull(), F.lit(seed)), F.lit(1 << 40)) / F.lit(float(1 << 40))
+    named = F.coalesce(F.concat(F.lit(f"{seed}:"), F.col("source")), F.lit(str(seed)))
+    offset = F.conv(F.substring(F.sha2(named, 256), 1, 13), 16, 10).cast("double") / F.lit(float(1 << 52))
     joined = placed.join(aim.withColumnRenamed("source", "__source"), F.col("source").eqNullSafe(F.col("__source")))
     copies = F.floor((F.col("__rank") + 1) * F.col("__rate") + F.col("__offset")) - F.floor(F.col("__rank") * F.col("__rate") + F.col("__offset"))
     return joined.withColumn("__rate", rate).withColumn("__offset", offset).select(*names, "source_size", "target", copies.alias("copies"))

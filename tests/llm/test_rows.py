@@ -4,10 +4,12 @@ import re
 import zlib
 from collections import Counter, defaultdict
 
+import duckdb
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
-from sievemill.llm import common, mixing, neardup, sharding
+from sievemill.llm import catalog, common, mixing, neardup, sharding
 
 from .fixtures import documents, empty
 
@@ -58,6 +60,18 @@ def test_near_duplicates_of_the_test_table(spark, small):
     check_groups(common.table(spark, small, "documents"), 3, 85)
 
 
+@pytest.mark.parametrize("name", sorted(catalog.oracle_sql()))
+def test_sql_agrees(spark, small, name):
+    base = duckdb.connect()
+    for table in ("documents", "embeddings"):
+        base.sql(f"CREATE VIEW {table} AS SELECT * FROM read_parquet('{small}/{table}.parquet')")
+    got = catalog.queries()[name](spark, small)
+    want = base.sql(catalog.oracle_sql()[name])
+    columns = sorted(want.columns)
+    assert columns == sorted(got.columns)
+    assert sorted(tuple(r[c] for c in columns) for r in got.collect()) == sorted(want.project(", ".join(columns)).fetchall())
+
+
 def test_near_duplicates_in_a_chain_at_the_threshold(spark):
     """A large group whose members are alike only along a chain: pivots don't join it, the full comparison does."""
     rows = [(k, " ".join(f"w{x}" for x in range(3 * k, 3 * k + 80)), "x") for k in range(60)]
