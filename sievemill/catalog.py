@@ -206,9 +206,9 @@ def stratified_round_robin(spark, folder):
 
 @query("""WITH g AS (SELECT lang, row_number() OVER (ORDER BY lang) - 1 AS k, count(*) OVER () AS m FROM (SELECT DISTINCT lang FROM documents)),
 r AS (SELECT doc_id, lang, row_number() OVER (PARTITION BY lang ORDER BY sha256('17:' || lang || ':' || doc_id), doc_id) AS r FROM documents)
-SELECT doc_id, lang FROM r JOIN g USING (lang) WHERE r <= 102 // m + CASE WHEN k < 102 % m THEN 1 ELSE 0 END""")
+SELECT doc_id, lang FROM r JOIN g USING (lang) WHERE r <= 42 // m + CASE WHEN k < 42 % m THEN 1 ELSE 0 END""")
 def uniform_sample_per_subset(spark, folder):
-    return sampling.sample_per_group(table(spark, folder, "documents").select("doc_id", "lang"), "lang", "doc_id", 102, SEED)
+    return sampling.sample_per_group(table(spark, folder, "documents").select("doc_id", "lang"), "lang", "doc_id", 42, SEED)
 
 
 @query("""SELECT doc_id FROM documents ORDER BY sha256('17:' || doc_id), doc_id LIMIT 150""")

@@ -20,15 +20,22 @@ MANIFEST = f"id string, source string, group_id string, image_path string, hr_pa
 
 
 def numbered_lines(spark: SparkSession, path: str, encoding: str | None = None) -> DataFrame:
-    """Lines of text files with ``line_no`` from 1 within their file, blank ones counted.
+    """Lines of text files: path, ``line_no`` from 1 within their file, blank ones counted, and value; without a byte order mark.
 
-    Whole files are split, so numbers are true at any number of tasks; a file is one row here, as manifests of a run are many files of
-    bounded size. Without them in one piece, ``read.text`` splits files and its ids have gaps.
+    A large file is read in blocks by many tasks; lines are numbered within their block, and counts of earlier blocks carry the
+    numbers on. Files of another encoding than UTF-8, which can't be cut anywhere, are read whole, a row each.
     """
-    files = spark.read.format("binaryFile").load(path).select("path", F.decode("content", F.lit(encoding or "UTF-8")).alias("t"))
-    text = F.regexp_replace("t", "^﻿", "")
-    lines = files.select("path", F.posexplode(F.split(F.regexp_replace(text, r"\r?\n$", ""), r"\r?\n")).alias("n", "value"))
-    return lines.select("path", (F.col("n") + 1).cast("long").alias("line_no"), "value")
+    if encoding:
+        files = spark.read.format("binaryFile").load(path).select("path", F.decode("content", encoding).alias("t"))
+        return files.select("path", F.posexplode(F.split(F.regexp_replace("t", r"\r?\n$", ""), r"\r?\n")).alias("n", "value")).select("path", (F.col("n") + 1).cast("long").alias("line_no"), "value")
+    lines = spark.read.text(path).select(F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("__block"), F.monotonically_increasing_id().alias("__id"), "value")
+    counts = lines.groupBy("path", "__block").agg(F.count(F.lit(1)).alias("__n"))
+    ahead = W.partitionBy("path").orderBy("__block").rowsBetween(W.unboundedPreceding, -1)  # a row a block
+    base = counts.select(F.col("path").alias("__p"), F.col("__block").alias("__b"), F.coalesce(F.sum("__n").over(ahead), F.lit(0)).alias("__before"))
+    own = lines.withColumn("__r", F.row_number().over(W.partitionBy("path", "__block").orderBy("__id")))
+    number = (F.col("__before") + F.col("__r")).cast("long")
+    value = F.when(number == 1, F.regexp_replace("value", "^\ufeff", "")).otherwise(F.col("value"))
+    return own.join(base, (F.col("path") == F.col("__p")) & (F.col("__block") == F.col("__b"))).select("path", number.alias("line_no"), value.alias("value"))
 
 
 def manifest(spark: SparkSession, path: str) -> DataFrame:
@@ -126,7 +133,8 @@ def boxes(spark: SparkSession, path: str) -> DataFrame:
     aligned = F.coalesce(F.when(is_list, True).otherwise(F.try_variant_get("v", "$.alignment_valid", "boolean")), F.lit(True))
     rows = each.select("image", image_stem(F.col("image")).alias("stem"), aligned.alias("aligned"), F.posexplode(lines).alias("index", "e"))
     require_empty(rows.groupBy("stem").agg(F.count_distinct("image").alias("n")).where("n > 1"), "ambiguous stem")
-    flat = F.coalesce(F.try_variant_get("e", "$", "array<double>"), F.flatten(F.try_variant_get("e", "$", "array<array<double>>")))
+    numbers, points = F.try_variant_get("e", "$", "array<double>"), F.try_variant_get("e", "$", "array<array<double>>")
+    flat = F.when(~F.exists(numbers, lambda x: x.isNull()), numbers).otherwise(F.flatten(points))
     line = F.when(flat.isNotNull(), F.from_json(F.to_json(F.struct(flat.alias("quad"))), LINE)).otherwise(F.try_variant_get("e", "$", LINE))
     return rows.select("image", "stem", "index", "aligned", line.alias("line"))
 
