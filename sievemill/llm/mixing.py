@@ -57,7 +57,7 @@ def mix(documents: DataFrame, size: str, weights: tuple = WEIGHTS, share: float
 def _within(documents: DataFrame, keys: list) -> DataFrame:
     """Adds ``__rank``, the rows of the same source before a row in the order of ``keys``."""
     source = F.struct(F.col("source").isNull().alias("no"), F.coalesce("source", F.lit("")).alias("name"))
-    rows = common.stored(common.ordered(documents, [source, *keys], {}, "mixing"), "mixed")
+    rows = common.ordered(documents, [source, *keys], {}, "mixing")
     first = rows.groupBy("source").agg(F.min("row_no").alias("__first")).withColumnRenamed("source", "__of")
     return rows.join(first, F.col("source").eqNullSafe(F.col("__of"))).withColumn("__rank", F.col("row_no") - F.col("__first")).drop("__of", "__first", "row_no")
 
