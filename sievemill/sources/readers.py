@@ -26,7 +26,8 @@ def numbered_lines(spark: SparkSession, path: str, encoding: str | None = None)
     numbers on. Files of another encoding than UTF-8, which can't be cut anywhere, are read whole, a row each.
     """
     if encoding:
-        files = spark.read.format("binaryFile").load(path).select("path", F.decode("content", encoding).alias("t"))
+        decoded = F.pandas_udf(lambda contents: contents.map(lambda c: c.decode(encoding)), "string")  # the JVM's decode knows few encodings
+        files = spark.read.format("binaryFile").load(path).select("path", decoded("content").alias("t"))
         return files.select("path", F.posexplode(F.split(F.regexp_replace("t", r"\r?\n$", ""), r"\r?\n")).alias("n", "value")).select("path", (F.col("n") + 1).cast("long").alias("line_no"), "value")
     lines = spark.read.text(path).select(F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("__block"), F.monotonically_increasing_id().alias("__id"), "value")
     counts = lines.groupBy("path", "__block").agg(F.count(F.lit(1)).alias("__n"))
