@@ -145,8 +145,8 @@ class QualityScorer(_Scorer):
     def inputs(self, text: str) -> list[float]:
         data = text.encode()
         good, bad = (len(press(data)) for press in self.made())
-        n = len(data)
-        return [(bad - good) / (bad + good), (bad - good) / (n + 64), math.log((min(good, bad) + 8) / (n + 64)), math.log(n + 64)]
+        n = len(data)  # the constants leave a short text, whose sizes are mostly overhead, near the usual ratio of 0.44
+        return [(bad - good) / (bad + good), (bad - good) / (n + 64), math.log((min(good, bad) + 28) / (n + 64)), math.log(n + 64)]
 
 
 def fit_quality(labelled: pd.DataFrame) -> QualityScorer:
