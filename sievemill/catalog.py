@@ -289,7 +289,8 @@ def containment_join(spark, folder):
 
 @query()
 def greedy_iou_match(spark, folder):
-    groups = _boxes(spark, folder).groupBy((F.col("p_partkey") % 50).alias("image")).agg(F.transform(F.slice(F.array_sort(F.collect_list(F.struct("p_partkey", "a", "b"))), 1, 12), lambda s: F.struct(s["a"], s["b"])).alias("s"))
+    """An image's boxes are those of twelve neighbouring keys."""
+    groups = _boxes(spark, folder).groupBy(F.floor(F.col("p_partkey") / 12).alias("image")).agg(F.transform(F.array_sort(F.collect_list(F.struct("p_partkey", "a", "b"))), lambda s: F.struct(s["a"], s["b"])).alias("s"))
     takers, offered = F.transform("s", lambda s: s["a"]), F.transform("s", lambda s: s["b"])
     return groups.select("image", F.array_join(F.transform(match.greedy_match(takers, offered, 0.05), lambda k: k.cast("string")), ",").alias("matches"))
 
@@ -300,12 +301,14 @@ def capacity_topk(spark, folder):
     return numeric.capacity_top(rows, "label", "score", "probability", "vec_id").select("vec_id", "label", "rank")
 
 
-@query("""SELECT v.vec_id, v.label, round(max(list_cosine_similarity(v.embedding::DOUBLE[], p.embedding::DOUBLE[])), 6) AS similarity, count(p.vec_id) > 0 AS supported
-FROM embeddings v LEFT JOIN (SELECT * FROM embeddings WHERE vec_id < 40 AND label < 8) p ON v.label = p.label WHERE v.vec_id >= 40 GROUP BY v.vec_id, v.label""")
+@query("""WITH p AS (SELECT label, list(m ORDER BY k) AS m FROM (SELECT label, k, avg(embedding[k]::DOUBLE) AS m FROM embeddings, range(1, 65) t(k) GROUP BY label, k) GROUP BY label)
+SELECT vec_id, label, round(list_cosine_similarity(embedding::DOUBLE[], m), 6) AS similarity, true AS supported FROM embeddings JOIN p USING (label)""")
 def nearest_prototype_cosine(spark, folder):
+    """A label's prototype is the mean of its vectors."""
     e = table(spark, folder, "embeddings")
-    few = e.where("vec_id < 40 AND label < 8").select("label", F.col("embedding").alias("prototype"))
-    return numeric.nearest_prototype(e.where("vec_id >= 40"), few, "vec_id", "label").select("vec_id", "label", F.round("similarity", 6).alias("similarity"), "supported")
+    means = e.select("label", F.posexplode("embedding").alias("k", "x")).groupBy("label", "k").agg(F.avg(F.col("x").cast("double")).alias("m"))
+    prototypes = means.groupBy("label").agg(F.transform(F.array_sort(F.collect_list(F.struct("k", "m"))), lambda s: s["m"]).alias("prototype"))
+    return numeric.nearest_prototype(e, prototypes, "vec_id", "label").select("vec_id", "label", F.round("similarity", 6).alias("similarity"), "supported")
 
 
 @query("""WITH o AS (SELECT label, vec_id % 5 AS s, count(*) AS n FROM embeddings GROUP BY ALL) SELECT label, s::BIGINT AS stratum, round(CASE s WHEN 0 THEN 0.5 WHEN 1 THEN 0.3 WHEN 2 THEN 0.2 ELSE 0 END

@@ -458,6 +458,12 @@ def test_shards(spark, tmp_path):
         readers.refuse(bad, bad)
 
 
+def test_unknown_prototypes_are_unsupported(spark):
+    v = spark.createDataFrame([(1, "a", [1.0, 0.0]), (2, "b", [1.0, 0.0])], "k int, label string, embedding array<double>")
+    p = spark.createDataFrame([("a", [1.0, 1.0]), ("a", [2.0, 0.0])], "label string, prototype array<double>")
+    assert {r.k: (r.distance, r.supported) for r in numeric.nearest_prototype(v, p, "k", "label").collect()} == {1: (0.0, True), 2: (None, False)}
+
+
 def test_writers(spark, tmp_path):
     rows = spark.createDataFrame([("k1", "accepted", "train", "/h1", [("v0", 2.0), ("v1", 4.0)]), ("k2", "error", "train", None, []), ("k3", "review", "validation", "/h3", [])], "key string, status string, split string, hr_path string, variants array<struct<path:string,scale:double>>")
     writers.by_status(rows, str(tmp_path / "out"), "key")
