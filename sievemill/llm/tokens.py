@@ -37,6 +37,9 @@ def chunks(text: str, specials: tuple[str, ...] = ("<|",)) -> list[str] | None:
     return parts
 
 
+#: The share of new chunks at which a full coder is of no use any more.
+ANEW = 0.3
+
 #: No text with this character is split.
 HEAD = "\x1f"
 
@@ -73,9 +76,9 @@ class _Index(dict):
 
 
 class ChunkCoder:
-    """Ids of texts. ``keep``: chunks that it remembers, about 250 bytes each; then it starts anew."""
+    """Ids of texts. ``keep``: chunks that it remembers, about 250 bytes each. Then it forgets what a call adds, and starts anew when over ``ANEW`` of a call's chunks are new."""
 
-    def __init__(self, path: str, keep: int = 1_200_000):
+    def __init__(self, path: str, keep: int = 1_390_000):
         import os
 
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
@@ -150,8 +153,8 @@ class ChunkCoder:
 
     def encode_all(self, texts: list[str | None], end: int | None = None) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all texts in a row as unsigned 32-bit integers, and how many each has; none for null or empty. ``end`` follows each text."""
-        if self.n > self.keep:
-            self._clear()
+        full = self.n > self.keep
+        held = self.n, self.used
         index, counts, whole = [], np.zeros(len(texts), np.int64), []
         extra = np.zeros(0 if end is None else 1, np.int64)  # chunk 0 is the end id, set below
         find, at = self.at.__getitem__, 0
@@ -167,7 +170,8 @@ class ChunkCoder:
                 counts[k] = len(parts)
             counts[k] += len(extra)
             at += int(counts[k])
-        if self.at.new:
+        new = self.at.new
+        if new:
             self._learn()
         index = np.concatenate(index) if index else extra[:0]
         for place, text in whole:
@@ -183,7 +187,14 @@ class ChunkCoder:
         ends = np.cumsum(lengths)
         where = np.repeat(self.starts[index] - ends + lengths, lengths)
         where += np.arange(ends[-1])
-        return self.flat[where], np.diff(np.concatenate([[0], ends])[np.cumsum(counts)], prepend=0)
+        out = self.flat[where], np.diff(np.concatenate([[0], ends])[np.cumsum(counts)], prepend=0)
+        if full and len(new) > ANEW * len(index):
+            self._clear()
+        elif full:
+            for key in new:
+                del self.at[key]
+            (self.n, self.used), self.at.count = held, held[0]
+        return out
 
     def encode(self, text: str | None) -> np.ndarray:
         return self.encode_all([text])[0]
