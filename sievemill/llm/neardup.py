@@ -11,7 +11,7 @@ the whole sequence where it has fewer. Documents with equal sets are one class,
 3. Verification in rounds. A round compares every member of a bucket with one pivot of it; verified links join
    components. A large group of near copies so takes a few comparisons a member, not all its pairs. What is then left, the
    pairs of a bucket that no chain of links joins yet, is compared in blocks by the signatures: pairs whose share of equal
-   slots comes within ``SLACK`` of the similarity, 4.8 standard deviations at least, are verified. Nothing is capped.
+   slots comes within ``SLACK`` of the similarity, four standard deviations or more, are verified. Nothing is capped.
 4. Components by alternating large-star and small-star steps on tables in the shared folder.
 """
 
