@@ -200,12 +200,12 @@ class ToxicScorer(_Scorer):
 
 
 def _marked(some: Counter, n: int, others: Counter, m: int) -> list[bytes]:
-    """Words that the n texts of one class have significantly more often than the m others (likelihood ratio, corrected for the words tried)."""
+    """Words that have more than twice the share in the n texts of one class that they have in the m others, and significantly so (likelihood ratio, corrected for the words tried)."""
     found, limit = [], 2 * math.log(len(some) + 2) + 8
     for word, a in some.items():
         b = others[word]
         expected = (a + b) * n / (n + m)
-        if a >= 3 and a > 2 * expected:
+        if a >= 3 and a * m > 2 * b * n:  # shares, so that the rule is the same at any ratio of the classes
             c, d = n - a, m - b
             ratio = sum(x * math.log(x / e) for x, e in ((a, expected), (b, a + b - expected), (c, n - expected), (d, m - (a + b - expected))) if x > 0 and e > 0)
             if 2 * ratio > limit:
