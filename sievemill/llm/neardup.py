@@ -11,12 +11,13 @@ the whole sequence where it has fewer. Documents with equal sets are one class,
 3. Verification in rounds. A round compares every member of a bucket with one pivot of it; verified links join
    components. A large group of near copies so takes a few comparisons a member, not all its pairs. What is then left, the
    pairs of a bucket that no chain of links joins yet, is compared in blocks by the signatures: pairs whose share of equal
-   slots comes within ``SLACK`` of the similarity, four standard deviations or more, are verified. Nothing is capped.
+   slots is not too low for the similarity (``least_equal``) are verified. Nothing is capped.
 4. Components by alternating large-star and small-star steps on tables in the shared folder.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -29,8 +30,8 @@ from . import common
 
 #: Slots of a signature; chance that a pair at the similarity asked for shares no band; rounds with one pivot a bucket.
 SLOTS, MISS, PIVOT_ROUNDS = 252, 1e-5, 2
-#: How far the estimate of a pair may fall short of the similarity, and members of a block of a bucket.
-SLACK, BLOCK = 0.08, 512
+#: Members of a block of a bucket.
+BLOCK = 512
 _GOLD, _A, _B, _C = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB, 0xD6E8FEB86659FD93))
 _NONE = np.uint64(0xFFFFFFFFFFFFFFFF)
 
@@ -48,6 +49,14 @@ def rows_of(similarity: float) -> int:
     return max(r for r in range(1, SLOTS + 1) if r == 1 or (1 - similarity**r) ** (SLOTS // r) <= MISS)
 
 
+def least_equal(similarity: float) -> int:
+    """Equal slots that a pair at the similarity falls short of with a chance of at most ``MISS``, at the variance of plain MinHash (SuperMinHash's is lower)."""
+    below, k = 0.0, 0
+    while (below := below + math.comb(SLOTS, k) * similarity**k * (1 - similarity) ** (SLOTS - k)) <= MISS:
+        k += 1
+    return k
+
+
 class _Words(dict):
     def __missing__(self, word: bytes) -> int:
         found = xxhash.xxh3_64_intdigest(word)
@@ -200,12 +209,11 @@ def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 def _similar(rows: DataFrame, percent: int) -> DataFrame:
     """Pairs (a, b) of documents of a bucket and different groups whose signatures and sizes allow the similarity, each from the first band that they share.
 
-    ``rows``: key, band, doc_id, n_shingles, group, slots. Members of a large bucket are dealt to blocks, and every two blocks meet once.
+    ``rows``: key, band, doc_id, n_shingles, group, slots and bands, all band keys of the document. Members of a large bucket are dealt to blocks, and every two blocks meet once.
     """
-    per_band = rows_of(percent / 100)
-    least = int(np.ceil(SLOTS * (percent / 100 - SLACK)))
+    n_bands, least = SLOTS // rows_of(percent / 100), least_equal(percent / 100)
 
-    def pairs_of(ids: np.ndarray, sizes: np.ndarray, groups: np.ndarray, slots: np.ndarray, blocks: np.ndarray, band: int) -> Iterator[tuple]:
+    def pairs_of(ids: np.ndarray, sizes: np.ndarray, groups: np.ndarray, slots: np.ndarray, bands: np.ndarray, blocks: np.ndarray, band: int) -> Iterator[tuple]:
         apart = blocks.min() != blocks.max()
         for k in range(len(ids) - 1):
             rest = np.arange(k + 1, len(ids))
@@ -213,10 +221,8 @@ def _similar(rows: DataFrame, percent: int) -> DataFrame:
             if apart:
                 rest = rest[blocks[rest] != blocks[k]]
             if len(rest):
-                equal = slots[rest] == slots[k]
-                good = equal.sum(1) >= least
-                if band:
-                    good &= ~equal[:, : band * per_band].reshape(len(rest), band, per_band).all(2).any(1)
+                good = (slots[rest] == slots[k]).sum(1) >= least
+                good &= ~(bands[rest, :band] == bands[k, :band]).any(1)
                 for at in rest[good]:
                     yield max(ids[k], ids[at]), min(ids[k], ids[at])
 
@@ -228,7 +234,8 @@ def _similar(rows: DataFrame, percent: int) -> DataFrame:
             edges = np.flatnonzero(np.append(True, (keys[1:] != keys[:-1]).any(1)))
             ids, sizes, groups, blocks, band = (table.column(k).to_numpy() for k in ("doc_id", "n_shingles", "group", "block", "band"))
             slots = np.frombuffer(b"".join(table.column("slots").to_pylist()), np.uint8).reshape(-1, SLOTS)
-            found = [p for a, b in zip(edges, [*edges[1:], len(keys)], strict=True) if b - a > 1 for p in pairs_of(ids[a:b], sizes[a:b], groups[a:b], slots[a:b], blocks[a:b], int(band[a]))]
+            bands = np.concatenate([x.flatten().to_numpy() for x in table.column("bands").chunks]).reshape(-1, n_bands)
+            found = [p for a, b in zip(edges, [*edges[1:], len(keys)], strict=True) if b - a > 1 for p in pairs_of(ids[a:b], sizes[a:b], groups[a:b], slots[a:b], bands[a:b], blocks[a:b], int(band[a]))]
             if found:
                 yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in found], pa.int64()), pa.array([y for _, y in found], pa.int64())], ["a", "b"])
 
@@ -245,7 +252,7 @@ def _similar(rows: DataFrame, percent: int) -> DataFrame:
 
     sizes = rows.groupBy("key").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("n"))
     dealt = rows.join(sizes, "key").withColumn("block", F.pmod(F.xxhash64("doc_id"), F.col("n")).cast("int"))
-    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("n") - 1))).select("key", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"), "block", "band", "doc_id", "n_shingles", "group", "slots")
+    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("n") - 1))).select("key", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"), "block", "band", "doc_id", "n_shingles", "group", "slots", "bands")
     dealt = dealt.repartition(common.partitions(rows.sparkSession), "key", "lo", "hi").sortWithinPartitions("key", "lo", "hi")
     return dealt.mapInArrow(run, "a long, b long")
 
@@ -302,7 +309,7 @@ def near_duplicates(documents: DataFrame, width: int = 5, percent: int = 80) ->
             pivot = now.groupBy("key").agg(F.min_by(F.struct("doc_id", "n_shingles", "group"), F.struct(by, "doc_id")).alias("p")).select("key", F.col("p.doc_id").alias("other"), F.col("p.n_shingles").alias("m_shingles"), F.col("p.group").alias("other_group"))
             pairs = now.join(pivot, "key").where((F.col("group") != F.col("other_group")) & fits).select(F.greatest("doc_id", "other").alias("a"), F.least("doc_id", "other").alias("b")).distinct()
         else:  # all that is left
-            pairs = _similar(now.join(reps.select("doc_id", "slots"), "doc_id"), percent)
+            pairs = _similar(now.join(reps.select("doc_id", "slots", "bands"), "doc_id"), percent)
         if done is not None:
             pairs = pairs.join(done, ["a", "b"], "left_anti")
         pairs = common.stored(pairs, "pairs")
