@@ -98,12 +98,13 @@ def _compressor(spec: dict) -> Callable[[bytes], bytes]:
 
 
 def _trained(texts: list[bytes], size: int = DICTIONARY) -> bytes:
-    """A zstandard dictionary of texts; their raw bytes where they are too few to train one."""
-    parts = [x[k : k + 8000] for x in texts for k in range(0, min(len(x), 24_000), 8000)]
+    """A zstandard dictionary of whole texts, in parts of 8000 bytes; their raw bytes where they are too few to train one, of each part as much as the dictionary has room for."""
+    parts = [x[k : k + 8000] for x in texts for k in range(0, len(x), 8000)]
     try:
         return zstandard.train_dictionary(size, parts).as_bytes()
     except zstandard.ZstdError:
-        return b" ".join(x[:2000] for x in parts)[-size:].rjust(16)
+        room = size // max(1, len(parts)) - 1 if sum(map(len, parts)) + len(parts) > size else size
+        return b" ".join(x[:room] for x in parts)[-size:].rjust(16)
 
 
 class _Scorer:
