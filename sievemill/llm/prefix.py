@@ -174,15 +174,15 @@ class PrefixCounter:
                 self.totals[key] = found
         return found
 
-    def stored(self, text: str | None) -> tuple[list[str], np.ndarray]:
-        """Keys of the chunks of a text and the count at the end of each: the table that answers questions about prefixes."""
+    def stored(self, text: str | None) -> tuple[list[str] | None, np.ndarray]:
+        """Keys of the chunks of a text and the count at the end of each: the table that answers questions about prefixes. For a text that isn't split, None and the counts at all its prefixes."""
         if not text:
             return [], np.zeros(0, np.int64)
         if len(self.states) + len(self.totals) > self.keep:
             self._clear()
         parts = tokens.chunks(text, self.specials)
         if parts is None:
-            return [tokens.HEAD + text], self.counts(text)[-1:]
+            return None, self.counts(text)
         total = self.totals
         try:
             n = [total[x] for x in parts]
@@ -190,8 +190,10 @@ class PrefixCounter:
             n = [self._total(x) for x in parts]
         return parts, np.cumsum(n)
 
-    def fits(self, parts: list[str], ends: np.ndarray, budget: int) -> int:
-        """Code points of the longest prefix of at most ``budget`` tokens, by the stored table: only one chunk's prefixes are looked at."""
+    def fits(self, parts: list[str] | None, ends: np.ndarray, budget: int) -> int:
+        """Code points of the longest prefix of at most ``budget`` tokens, by the stored table: of a text that is split, only one chunk's prefixes are looked at."""
+        if parts is None:
+            return int(np.flatnonzero(ends <= budget)[-1])
         k = int(np.searchsorted(ends, budget, side="right"))
         done = sum(len(tokens.chunk_text(x)) for x in parts[:k])
         if k == len(parts):
