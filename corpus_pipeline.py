@@ -26,9 +26,12 @@ def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates: the one with the least doc_id."""
-    kept = neardup.near_duplicates(docs, 5, 80).where("kept").select(F.col("doc_id").alias("__kept")).distinct()
-    return docs.join(kept, docs.doc_id.eqNullSafe(kept["__kept"]), "left_semi")
+    """One row of each group of near-duplicates: one with the least doc_id, null coming last. Rows count one by one, whatever their ids."""
+    rows = common.stored(docs.withColumn("__row", F.monotonically_increasing_id()), "rows")
+    groups = neardup.near_duplicates(rows.select(F.col("__row").alias("doc_id"), "text"), 5, 80).select(F.col("doc_id").alias("__row"), "component_id")
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "__row")).alias("first")
+    kept = groups.join(rows.select("__row", "doc_id"), "__row").groupBy("component_id").agg(first).select(F.col("first.__row").alias("__row"))
+    return rows.join(kept, "__row", "left_semi").select(*docs.columns)
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
