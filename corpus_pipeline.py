@@ -57,7 +57,7 @@ def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 STAGES = [("quality", quality), ("toxicity", toxicity), ("near_duplicates", near_duplicates), ("mix", mix), ("pack", pack)]
-#: The stages learn, link and pack: SQL can't express them. tests/llm/test_pipeline.py holds run() against a plain version.
+#: The stages learn, link and pack: SQL can't express them. tests/llm/test_pipeline.py holds each stage and run() against a plain version.
 ORACLE_SQL = None
 
 
