@@ -1,7 +1,8 @@
 """Classifiers that compare how well two zstandard dictionaries compress a text, calibrated by logistic regression.
 
 Quality: one dictionary trained on texts labelled good, one on bad ones. Both compress the whole text; the difference of the
-sizes over their sum, over the text's bytes, and the compressibility itself are the calibration's inputs.
+sizes over their sum and over the text's bytes are the calibration's inputs, beside the lesser size over the text's bytes, which
+tells a difference that is small because the text compresses well from one that is small because no dictionary fits it.
 
 Toxicity: texts are cut into windows of words, each word written as fixed codes of its first letters and of all
 of it, lower-cased, so that a dictionary compresses these wholly or not at all. Both dictionaries hold the same frequent words; beside them, the
@@ -147,7 +148,7 @@ class QualityScorer(_Scorer):
         data = text.encode()
         good, bad = (len(press(data)) for press in self.made())
         n = len(data)  # the constants leave a short text, whose sizes are mostly overhead, near the usual ratio of 0.44
-        return [(bad - good) / (bad + good), (bad - good) / (n + 64), math.log((min(good, bad) + 28) / (n + 64)), math.log(n + 64)]
+        return [(bad - good) / (bad + good), (bad - good) / (n + 64), math.log((min(good, bad) + 28) / (n + 64))]
 
 
 def fit_quality(labelled: pd.DataFrame) -> QualityScorer:
@@ -255,7 +256,9 @@ def toxic_scorer(documents: DataFrame, labels: DataFrame) -> ToxicScorer:
 def score_quality(documents: DataFrame, labels: DataFrame, threshold: float = QUALITY_THRESHOLD) -> DataFrame:
     """Per row of ``documents`` (doc_id, text): doc_id, held_out, score, predicted.
 
-    Null and empty texts are scored as the empty text. Without labels every score is 0.5, with labels of one class only it is their share. Equal texts have equal scores.
+    Null and empty texts are scored as the empty text; the longest ones are scored whole. Without labels every score is 0.5, with labels
+    of one class only it is their share. Equal texts have equal scores; repeated rows are scored one by one. A null doc_id is kept and
+    counts as the empty id. An empty table gives an empty result. Other columns are not read.
     """
     scorer = quality_scorer(documents, labels)
     out = documents.select("doc_id", common.held_out(F.col("doc_id"), 4, 2).alias("held_out"), scored(documents, scorer).alias("score"))
@@ -270,6 +273,7 @@ def score_toxic(documents: DataFrame, labels: DataFrame, threshold: float = TOXI
 
 
 def op2_compression_quality(spark, sf_dir: str) -> DataFrame:
+    """Quality of all documents, at a threshold of 0.7; see ``score_quality`` for nulls, empty, long and repeated texts and empty tables."""
     return score_quality(common.table(spark, sf_dir, "documents"), common.table(spark, sf_dir, "labels"))
 
 
