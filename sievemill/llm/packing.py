@@ -80,7 +80,7 @@ def pieces(documents: DataFrame, tokenizer: str, capacity: int = CAPACITY, end:
     def run(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = tokens.coder(tokenizer)
         for frame in frames:
-            ids, texts = frame.column(0), frame.column(2).to_pylist()
+            ids, texts = frame.column(0), frame.column(2)
             for part in tokens.batches(texts):
                 flat, counts = coder.encode_all(texts[part], end)
                 ends = np.cumsum(counts)

@@ -6,9 +6,10 @@ own bytes. So each prefix has one last token: the one that ends there and goes w
 ``count(prefix) = count(prefix without its last token) + 1``. What a prefix of a piece needs is remembered by the prefix,
 so pieces that begin alike share it.
 
-A text is split into chunks (see ``tokens``) which are encoded apart, and a chunk into the tokenizer's pieces; the count at
-a prefix of the text is the sum over the chunks before it and the count at a prefix of one chunk. So truncation to a
-budget and the like need only sums and one chunk, and nothing is encoded again.
+A text is split into chunks (see ``tokens``), and a chunk into the tokenizer's pieces; the count at a prefix of the text is the sum
+over the chunks before it and the count at a prefix of one chunk. ``write_table`` stores, for each document, the counts at all its
+prefixes by code points: their steps from one to the next, which are mostly 0 and 1, compressed. ``longest`` and ``counts_at`` answer
+questions about budgets and truncation from that table alone, without texts and without a tokenizer.
 """
 
 from __future__ import annotations
@@ -16,9 +17,13 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
-from pyspark.sql import DataFrame
+import zstandard
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
 
 from . import common, tokens
 
@@ -27,21 +32,18 @@ PIECE = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)
 LIMIT = 512
 #: Bytes of the pieces whose prefixes are remembered; longer ones are rare, and each has many prefixes.
 SHORT = 64
+#: Prefixes of pieces that are remembered, about 200 bytes each, then they are found anew; and pairs of tokens, about 250 bytes each.
+STATES, PAIRS = 400_000, 300_000
+_ENDS = ".,;:!?"
 
 
-class PrefixCounter:
-    """Counts for the byte-level BPE file at ``path``. ``keep``: chunks and prefixes that it remembers; then it starts anew."""
+class PrefixCounter(tokens.Chunked):
+    """Counts for the byte-level BPE file at ``path``. ``keep``: chunks that it remembers."""
 
     def __init__(self, path: str, keep: int = 1_000_000):
-        import os
-
-        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
-        from tokenizers import Tokenizer
-
-        self.library, self.keep = Tokenizer.from_file(path), keep
+        super().__init__(path, keep)
         self.model = self.library.model
         self.letters = tokens.byte_letters()
-        self.specials = tuple(x.content for x in self.library.get_added_tokens_decoder().values())
         added = {*self.library.get_added_tokens_decoder()}
         self.text_of = {number: token for token, number in self.library.get_vocab().items() if number not in added}
         byte_of = {x: bytes([k]) for k, x in enumerate(self.letters)}
@@ -50,11 +52,10 @@ class PrefixCounter:
         self.tails = {token[k:]: -1 for token in id_of for k in range(1, len(token))} | id_of
         self.piece = regex.compile(PIECE)
         self.pairs: dict[tuple[int, int], bool] = {}
-        self._clear()
 
     def _clear(self) -> None:
+        super()._clear()
         self.states: dict[bytes, tuple[int, int]] = {}  # of a prefix of a piece: its last token and its count
-        self.totals: dict[str, int] = {}  # of a chunk
 
     def _fits(self, left: int, right: int) -> bool:
         """Whether the two tokens are the encoding of their own bytes."""
@@ -62,7 +63,7 @@ class PrefixCounter:
         if found is None:
             got = self.model.tokenize(self.text_of[left] + self.text_of[right])
             found = len(got) == 2 and got[0].id == left and got[1].id == right
-            if len(self.pairs) < self.keep:
+            if len(self.pairs) < PAIRS:
                 self.pairs[left, right] = found
         return found
 
@@ -166,40 +167,43 @@ class PrefixCounter:
                 at = b
         return np.concatenate(out)
 
-    def _total(self, key: str) -> int:
-        found = self.totals.get(key)
-        if found is None:
-            found = sum(self._count(x.encode()) for x in self.piece.findall(tokens.chunk_text(key)))
-            if len(key) <= 64:
-                self.totals[key] = found
-        return found
+    def _learn(self, new: list[bytes]) -> None:
+        if len(self.states) > STATES:
+            self.states = {}
+        found: list[int] = []
+        lengths, last = [], self._last
+        for chunk in new:
+            text = chunk.decode()
+            word = text[1:-1] if text[-1] in _ENDS else text[1:]
+            if text[0] == " " and word.isalpha() and len(chunk) <= SHORT:  # one piece, and perhaps a mark, which is a token of its own
+                size = len(chunk) + len(word) + 1 - len(text)
+                if size == len(word) + 1:
+                    counts = [last(chunk[:k])[1] for k in range(1, size + 1)]
+                else:
+                    counts = [last(chunk[:k])[1] for k in np.cumsum([len(x.encode()) for x in text[: len(word) + 1]]).tolist()]
+                if len(word) + 1 < len(text):
+                    counts.append(counts[-1] + 1)
+            else:
+                counts = self._plain(text)[1:].tolist()
+            found += counts
+            lengths.append(len(counts))
+        self._add(np.array(found, np.uint32), lengths)
 
-    def stored(self, text: str | None) -> tuple[list[str] | None, np.ndarray]:
-        """Keys of the chunks of a text and the count at the end of each: the table that answers questions about prefixes. For a text that isn't split, None and the counts at all its prefixes."""
-        if not text:
-            return [], np.zeros(0, np.int64)
-        if len(self.states) + len(self.totals) > self.keep:
-            self._clear()
-        parts = tokens.chunks(text, self.specials)
-        if parts is None:
-            return None, self.counts(text)
-        total = self.totals
-        try:
-            n = [total[x] for x in parts]
-        except KeyError:
-            n = [self._total(x) for x in parts]
-        return parts, np.cumsum(n)
-
-    def fits(self, parts: list[str] | None, ends: np.ndarray, budget: int) -> int:
-        """Code points of the longest prefix of at most ``budget`` tokens, by the stored table: of a text that is split, only one chunk's prefixes are looked at."""
-        if parts is None:
-            return int(np.flatnonzero(ends <= budget)[-1])
-        k = int(np.searchsorted(ends, budget, side="right"))
-        done = sum(len(tokens.chunk_text(x)) for x in parts[:k])
-        if k == len(parts):
-            return done
-        inside = self.counts(tokens.chunk_text(parts[k])) + (int(ends[k - 1]) if k else 0)
-        return done + int(np.flatnonzero(inside <= budget)[-1])
+    def _learn_whole(self, text: str) -> None:
+        counts = self.counts(text)[1:]
+        self._add(counts, [len(counts)])
+
+    def all_counts(self, texts: pa.Array | list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+        """The counts at all prefixes of all texts in a row, from one code point on, and how many code points each text has."""
+
+        def gather(number: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+            counts, upto = self.values(number)
+            total = self.flat[self.starts[number] + self.lengths[number] - 1].astype(np.int64)  # no chunk is empty
+            before = np.cumsum(total) - total
+            base = np.repeat(np.append(before, 0)[first[:-1]], np.diff(first))
+            return counts + np.repeat(before - base, self.lengths[number]), np.diff(upto[first])
+
+        return self.numbers(texts, gather)
 
 
 _COUNTERS: dict[str, PrefixCounter] = {}
@@ -213,25 +217,66 @@ def counter(path: str) -> PrefixCounter:
     return _COUNTERS[path]
 
 
-def count_tokens(documents: DataFrame, tokenizer: str, limit: int = LIMIT) -> DataFrame:
-    """Per row of ``documents`` (doc_id, text): doc_id, n_bytes, n_tokens, over_limit and fit_chars, the code points of the longest prefix within ``limit`` tokens.
+def _packed(counts: np.ndarray, press: zstandard.ZstdCompressor) -> bytes:
+    """Counts of prefixes as their steps: a byte each where all fit (``b``), else four (``i``)."""
+    steps = np.diff(counts, prepend=0)
+    small = len(steps) == 0 or (steps.min() >= -128 and steps.max() < 128)
+    return (b"b" if small else b"i") + press.compress(steps.astype("<i1" if small else "<i4").tobytes())
+
+
+def unpacked(data: bytes) -> np.ndarray:
+    """The counts at all prefixes, from none on."""
+    steps = np.frombuffer(zstandard.ZstdDecompressor().decompress(data[1:]), "<i1" if data[:1] == b"b" else "<i4")
+    return np.concatenate([[0], np.cumsum(steps, dtype=np.int64)])
+
 
-    Null and empty texts have 0 of all. Rows are kept one by one, repeated ones too; other columns are not read. No shuffle.
+def table(documents: DataFrame, tokenizer: str) -> DataFrame:
+    """Per row of ``documents`` (doc_id, text): doc_id, n_bytes, n_chars, n_tokens, prefixes (the packed counts at all prefixes).
+
+    Null and empty texts have no prefixes and 0 of all. Rows are kept one by one, repeated ones and null ids too; other columns are not read. No shuffle.
     """
 
     def run(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = counter(tokenizer)
+        counts_of, press = counter(tokenizer), zstandard.ZstdCompressor(level=1)
         for frame in frames:
-            n_bytes, n_tokens, fit = [], [], []
-            for text in frame.column(1).to_pylist():
-                parts, ends = table.stored(text)
-                n = int(ends[-1]) if len(ends) else 0
-                n_bytes.append(len((text or "").encode()))
-                n_tokens.append(n)
-                fit.append(len(text or "") if n <= limit else table.fits(parts, ends, limit))
-            yield pa.RecordBatch.from_arrays([frame.column(0), pa.array(n_bytes, pa.int64()), pa.array(n_tokens, pa.int64()), pa.array([x > limit for x in n_tokens], pa.bool_()), pa.array(fit, pa.int64())], ["doc_id", "n_bytes", "n_tokens", "over_limit", "fit_chars"])
-
-    return documents.select("doc_id", "text").mapInArrow(run, "doc_id long, n_bytes long, n_tokens long, over_limit boolean, fit_chars long")
+            for part in tokens.batches(frame.column(1)):
+                texts = frame.column(1)[part]
+                counts, n = counts_of.all_counts(texts)
+                ends = np.cumsum(n)
+                own = [counts[a:b] for a, b in zip(ends - n, ends, strict=True)]
+                last = [int(x[-1]) if len(x) else 0 for x in own]
+                sizes = pc.fill_null(pc.binary_length(texts), 0).cast(pa.int64())
+                yield pa.RecordBatch.from_arrays([frame.column(0)[part], sizes, pa.array(n), pa.array(last, pa.int64()), pa.array([_packed(x, press) for x in own], pa.binary())], ["doc_id", "n_bytes", "n_chars", "n_tokens", "prefixes"])
+
+    return documents.select("doc_id", "text").mapInArrow(run, "doc_id long, n_bytes long, n_chars long, n_tokens long, prefixes binary")
+
+
+def longest(prefixes: Column, n_tokens: Column, n_chars: Column, budget: int) -> Column:
+    """Code points of the longest prefix of at most ``budget`` tokens, from the stored counts alone; a text within the budget isn't unpacked."""
+
+    @F.pandas_udf("long")
+    def find(rows: pd.Series) -> pd.Series:
+        return pd.Series([int(np.flatnonzero(unpacked(x) <= budget)[-1]) for x in rows], dtype="int64") if len(rows) else pd.Series([], dtype="int64")
+
+    packed = F.when(n_tokens > budget, prefixes).otherwise(F.lit(_packed(np.zeros(0, np.int64), zstandard.ZstdCompressor())))
+    return F.when(n_tokens > budget, find(packed)).otherwise(n_chars)
+
+
+def counts_at(prefixes: Column, n_chars: Column) -> Column:
+    """The exact count of the prefix of ``n_chars`` code points (the whole text where it has fewer), from the stored counts alone."""
+
+    @F.pandas_udf("long")
+    def find(rows: pd.Series, at: pd.Series) -> pd.Series:
+        return pd.Series([int((c := unpacked(x))[min(k, len(c) - 1)]) for x, k in zip(rows, at, strict=True)], dtype="int64")
+
+    return find(prefixes, n_chars.cast("long"))
+
+
+def count_tokens(documents: DataFrame, tokenizer: str, limit: int = LIMIT) -> DataFrame:
+    """Per row of ``documents``: doc_id, n_bytes, n_tokens, over_limit and fit_chars, the code points of the longest prefix within ``limit`` tokens; see ``table``. The table is written and read back."""
+    held = common.stored(table(documents, tokenizer), "prefixes")
+    fit = longest(F.col("prefixes"), F.col("n_tokens"), F.col("n_chars"), limit)
+    return held.select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"), fit.alias("fit_chars"))
 
 
 def op6_prefix_counts(spark, sf_dir: str) -> DataFrame:

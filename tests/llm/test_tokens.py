@@ -3,6 +3,7 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -35,10 +36,30 @@ def test_chunked_ids_are_the_library_s(texts):
 
 def test_coder_starts_anew_when_full():
     coder = tokens.ChunkCoder(PATH, keep=5)
-    for text in ("one two three four five six seven", "one more", "a  b", "six seven"):
+    for text in ("one two three four five six seven", "one more", "a  b", "six seven", "one two one two one two three eight", "three eight", "one two"):
         assert coder.encode(text).tolist() == ids(text)
 
 
+def test_table_of_hashes():
+    rng = np.random.default_rng(0)
+    table = tokens._Table(4)
+    keys, checks = rng.integers(0, 1 << 64, 50_000, np.uint64), rng.integers(0, 1 << 32, 50_000, np.uint32)
+    keys[::3] = keys[1::3][: len(keys[::3])] if len(keys[1::3]) >= len(keys[::3]) else np.append(keys[1::3], keys[1])  # alike but for the check
+    keys |= np.uint64(1)
+    for k in range(0, 50_000, 5000):
+        assert (table.find(keys[k : k + 5000], checks[k : k + 5000]) == 0).all()
+        table.add(keys[k : k + 5000], checks[k : k + 5000], np.arange(k + 1, k + 5001, dtype=np.int32))
+    assert (table.find(keys, checks) == np.arange(1, 50_001)).all()
+
+
+def test_slices_of_columns():
+    column = pa.array(["one", None, "two three", "", "a  b", "ünï cödé\nx"] * 3)
+    flat, counts = tokens.coder(PATH).encode_all(column[4:15], 2)
+    want = [[*ids(t), 2] for t in column[4:15].to_pylist()]
+    assert flat.tolist() == [y for x in want for y in x] and counts.tolist() == list(map(len, want))
+    assert [s.stop for s in tokens.batches(column, 10)][-1] == 18 and len(list(tokens.batches(column[:0]))) == 0
+
+
 @given(TEXTS)
 @settings(max_examples=150, deadline=None)
 def test_prefix_counts(text):
@@ -63,27 +84,45 @@ def test_counts_and_longest_prefix_of_all_rows(spark):
 @settings(max_examples=60, deadline=None)
 def test_grammar_round_trip(values, times):
     flat = np.array(values * times * 20 + [2], np.uint32)
-    symbols, rules, first = repair.compress(flat)
-    assert repair.expand(symbols, rules, first).tolist() == flat.tolist()
+    alphabet, symbols, rules = repair.compress(flat)
+    grammar = repair.Grammar(alphabet, rules)
+    assert grammar.expand(symbols).tolist() == flat.tolist()
     assert len(symbols) <= len(flat)
-    sizes = repair.lengths_of(rules, first)
-    assert all(sizes[k] == len(repair.expand(np.array([first + k]), rules, first)) for k in range(min(len(rules), 20)))
+    sizes = repair.lengths_of(rules, len(alphabet))
+    assert all(n == len(grammar.expand(np.array([len(alphabet) + k]))) for k, n in enumerate(sizes))
+    used = Counter([*symbols.tolist(), *rules.ravel().tolist()])
+    assert all(used[len(alphabet) + k] > 1 or len(alphabet) + k in rules for k in range(len(rules)))
+    assert not any(grammar.expand(rules[k, :1])[-1] == 2 for k in range(len(rules)))
+
+
+def test_of_overlapping_pairs_the_more_frequent_is_replaced():
+    flat = np.array([5, 6] * 30 + [9] + [6, 7, 8] * 12 + [9, 5, 6, 7, 8], np.uint32)  # the last 6 is in (5, 6), not in (6, 7)
+    alphabet, symbols, rules = repair.compress(flat)
+    grammar = repair.Grammar(alphabet, rules)
+    assert [5, 6] in [grammar.expand(np.array([len(alphabet) + k])).tolist() for k in range(len(rules))]
+    assert grammar.expand(symbols[-3:-2]).tolist() == [5, 6]
 
 
 def test_block_random_access():
     rng = np.random.default_rng(0)
-    parts = [np.append(rng.integers(3, 40, rng.integers(0, 400)), 2).astype(np.uint32) for _ in range(50)]
+    parts = [np.append(rng.integers(2, 40, rng.integers(0, 400)), 2).astype(np.uint32) for _ in range(50)] + [np.array([2], np.uint32)] * 40
     block = repair.Block(repair.pack(np.concatenate(parts), np.array([len(x) for x in parts])))
     assert len(block.rules)
-    for k in (0, 7, 31, 49):
+    for k in (0, 7, 31, 49, 50, 89):
         assert block.ids(k).tolist() == parts[k].tolist()
+        for a, b in ((0, 1), (3, 50), (5, 5), (390, 500)):
+            assert block.ids(k, a, b).tolist() == parts[k][a:b].tolist()
     with pytest.raises(ValueError):
         repair.Block(b"other file")
 
 
-def test_large_ids_stay_as_they_are():
-    block = repair.Block(repair.pack(np.array([70_000, 70_000, 2], np.uint32), np.array([3])))
-    assert block.all_ids().tolist() == [70_000, 70_000, 2]
+@pytest.mark.parametrize("top", [60_000, 70_000, 1 << 31])
+def test_a_grammar_has_no_bound_on_ids_or_symbols(top):
+    rng = np.random.default_rng(1)
+    flat = np.tile(rng.integers(top - 30_000, top, 90_000), repair.WORTH).astype(np.uint32)
+    block = repair.Block(repair.pack(np.append(flat, 2).astype(np.uint32), np.array([len(flat) + 1])))
+    assert block.all_ids().tolist() == [*flat.tolist(), 2]
+    assert len(block.rules) > 1 << 16 and len(block.symbols) < 100
 
 
 def test_files_of_all_documents(spark):
