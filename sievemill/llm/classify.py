@@ -4,11 +4,10 @@ Quality: one dictionary trained on texts labelled good, one on bad ones. Both co
 sizes over their sum and over the text's bytes are the calibration's inputs, beside the lesser size over the text's bytes, which
 tells a difference that is small because the text compresses well from one that is small because no dictionary fits it.
 
-Toxicity: texts are cut into windows of words, each word written as fixed codes of its first letters and of all
-of it, lower-cased, so that a dictionary compresses these wholly or not at all. Both dictionaries hold the same frequent words; beside them, the
-toxic one holds the words that toxic training texts have significantly more often, and the ordinary one those that the
-others have. A window's evidence is the difference of its two lengths; the largest and the sum over all windows of the
-whole text are calibrated.
+Toxicity: lower-cased texts are cut into windows of words, each word coded in fixed length. One dictionary is trained by zstandard on
+windows of toxic texts, one on windows of ordinary texts. Most of a toxic text is ordinary, too, so both compressors have the same
+ordinary text beside their dictionary, nearer than it, and a dictionary is trained on the half of the windows that this text compresses
+worse: what the lengths differ in is then what only the one class's texts have. The differences over all windows of the whole text are calibrated.
 
 What is fitted comes from a bounded sample of labelled rows (``SAMPLE`` a class), chosen by a hash of doc_id. Copies in the
 sample count once. Half of the sample makes the dictionaries, the other half the calibration, at the labels' own shares, so that a score is a probability.
@@ -31,8 +30,10 @@ from . import common
 
 #: Labelled rows of a class that a fit reads at most, bytes of a text among them (longer ones aren't chosen), and a dictionary's bytes.
 SAMPLE, SAMPLE_BYTES, DICTIONARY = 1500, 60_000, 65_536
-#: Words of a window, and shared words of the two toxicity dictionaries.
-WINDOW, SHARED = 16, 1024
+#: Words of a window that is scored, and of one that the toxicity dictionaries are trained on; bytes of these dictionaries, and of the ordinary text beside them.
+WINDOW, TRAINING_WINDOW, LEARNED, SHARED = 32, 8, 32_768, 3_900_000
+#: First letters that a word's code shares with other words.
+START = 4
 QUALITY_THRESHOLD, TOXIC_THRESHOLD = 0.7, 0.5
 
 
@@ -98,11 +99,11 @@ def _compressor(spec: dict) -> Callable[[bytes], bytes]:
     return zstandard.ZstdCompressor(level=spec["level"], dict_data=held, write_content_size=False, write_dict_id=False, write_checksum=False).compress
 
 
-def _trained(texts: list[bytes], size: int = DICTIONARY) -> bytes:
+def _trained(texts: list[bytes], size: int = DICTIONARY, **kind: int) -> bytes:
     """A zstandard dictionary of whole texts, in parts of 8000 bytes; their raw bytes where they are too few to train one, of each part as much as the dictionary has room for."""
     parts = [x[k : k + 8000] for x in texts for k in range(0, len(x), 8000)]
     try:
-        return zstandard.train_dictionary(size, parts).as_bytes()
+        return zstandard.train_dictionary(size, parts, **kind).as_bytes()
     except zstandard.ZstdError:
         room = size // max(1, len(parts)) - 1 if sum(map(len, parts)) + len(parts) > size else size
         return b" ".join(x[:room] for x in parts)[-size:].rjust(16)
@@ -111,7 +112,7 @@ def _trained(texts: list[bytes], size: int = DICTIONARY) -> bytes:
 class _Scorer:
     """Dictionaries, scaling and weights; compressors are made once a Python worker."""
 
-    def __init__(self, dictionaries: tuple[dict, dict]):
+    def __init__(self, dictionaries: tuple):
         self.dictionaries, self.weights, self.mean, self.scale, self._made = dictionaries, None, None, None, None
 
     def __getstate__(self) -> dict:
@@ -164,14 +165,11 @@ def fit_quality(labelled: pd.DataFrame) -> QualityScorer:
 _LETTERS = bytes(b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b > 127 else 32 for b in range(256))
 
 
-START = 4
-
-
 class _Codes(dict):
-    """A word's code: 16 bytes for its first ``START`` letters, so that inflected words share them, and 16 for the whole."""
+    """A word in fixed length: 8 bytes for its first ``START`` letters, so that inflected words share them, and 8 for the whole. A dictionary matches them wholly or not at all."""
 
     def __missing__(self, word: bytes) -> bytes:
-        found = b"".join(map(xxhash.xxh3_128_digest, _units(word)))
+        found = xxhash.xxh3_64_digest(b"^" + word.decode(errors="ignore")[:START].encode()) + xxhash.xxh3_64_digest(word)
         if len(self) < 300_000:
             self[word] = found
         return found
@@ -180,57 +178,72 @@ class _Codes(dict):
 _CODES = _Codes()
 
 
-def _words(text: str) -> list[bytes]:
-    return text.encode().translate(_LETTERS).split()
+def _windows(text: str, size: int) -> list[bytes]:
+    """The words of the whole text in order, coded, ``size`` of them a window."""
+    coded = b"".join(map(_CODES.__getitem__, text.encode().translate(_LETTERS).split()))
+    return [coded[k : k + 16 * size] for k in range(0, len(coded), 16 * size)]
+
+
+def _matcher(data: bytes) -> Callable[[bytes], bytes]:
+    """A compressor that has indexed all of ``data``: it searches long enough to find the far end of it, too."""
+    held = zstandard.ZstdCompressionDict(data, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+    log = max(10, (len(data) - 1).bit_length())
+    params = zstandard.ZstdCompressionParameters(
+        format=zstandard.FORMAT_ZSTD1_MAGICLESS,
+        write_content_size=0,
+        write_checksum=0,
+        write_dict_id=0,
+        window_log=log + 1,
+        chain_log=log,
+        hash_log=log,
+        search_log=3,
+        min_match=7,
+        target_length=32,
+        strategy=zstandard.STRATEGY_LAZY2,
+    )
+    held.precompute_compress(compression_params=params)
+    return zstandard.ZstdCompressor(dict_data=held, compression_params=params).compress
 
 
-def _units(word: bytes) -> tuple[bytes, bytes]:
-    return b"^" + word.decode(errors="ignore")[:START].encode(), word
+class ToxicScorer(_Scorer):
+    """``dictionaries``: what was trained on toxic and on ordinary windows, and the ordinary text that both compressors have beside it."""
+
+    def made(self) -> tuple:
+        if self._made is None:
+            toxic, ordinary, shared = self.dictionaries
+            self._made = _matcher(toxic + shared), _matcher(ordinary + shared)
+        return self._made
 
+    def gains(self, text: str) -> np.ndarray:
+        """Per window, the bytes that the toxic dictionary saves against the ordinary one."""
+        toxic, ordinary = self.made()
+        return np.array([len(ordinary(x)) - len(toxic(x)) for x in _windows(text, WINDOW)], float)
 
-class ToxicScorer(_Scorer):
     def inputs(self, text: str) -> list[float]:
-        coded = b"".join(map(_CODES.__getitem__, _words(text)))
-        toxic, ordinary = self.made()
-        most = total = 0
-        for k in range(0, len(coded), 32 * WINDOW):
-            window = coded[k : k + 32 * WINDOW]
-            gain = len(ordinary(window)) - len(toxic(window))
-            total += max(gain, 0)
-            most = max(most, gain)
-        return [math.log1p(most), math.log1p(total), total / (len(coded) / 32 + 32)]
-
-
-def _marked(some: Counter, n: int, others: Counter, m: int) -> list[bytes]:
-    """Words that have more than twice the share in the n texts of one class that they have in the m others, and significantly so (likelihood ratio, corrected for the words tried)."""
-    found, limit = [], 2 * math.log(len(some) + 2) + 8
-    for word, a in some.items():
-        b = others[word]
-        expected = (a + b) * n / (n + m)
-        if a >= 3 and a * m > 2 * b * n:  # shares, so that the rule is the same at any ratio of the classes
-            c, d = n - a, m - b
-            ratio = sum(x * math.log(x / e) for x, e in ((a, expected), (b, a + b - expected), (c, n - expected), (d, m - (a + b - expected))) if x > 0 and e > 0)
-            if 2 * ratio > limit:
-                found.append((2 * ratio, word))
-    return [word for _, word in sorted(found, reverse=True)[:SHARED]]
+        gains = self.gains(text)
+        n = len(gains) + 2
+        most = np.sort(gains)[-3:].sum() / 3 if len(gains) else 0.0
+        return [math.log1p(max(most, 0.0)), math.sqrt(np.maximum(gains, 0).sum() / n), gains.sum() / n]
+
+
+def _costly(texts: list[str], press: Callable[[bytes], bytes]) -> list[bytes]:
+    """The half of the texts' windows that the shared text compresses worse: what a dictionary beside it has to learn."""
+    windows = [x for text in texts for x in _windows(text, TRAINING_WINDOW)]
+    ratio = np.array([len(press(x)) / len(x) for x in windows])
+    middle = np.median(ratio) if windows else 0.0
+    return [x for x, r in zip(windows, ratio, strict=True) if r >= middle]
 
 
 def fit_toxic(labelled: pd.DataFrame) -> ToxicScorer:
     keep = labelled.iloc[_without_copies(labelled["text"].tolist())]
     texts, y = keep["text"].tolist(), keep["y"].to_numpy()
-    for_dictionary = np.arange(len(keep)) % 2 == 0
-    counts, sizes, every = (Counter(), Counter()), [0, 0], Counter()
-    for text, d, label in zip(texts, for_dictionary, y, strict=True):
-        if d:
-            words = {x for word in set(_words(text)) for x in _units(word)}
-            counts[label].update(words)
-            every.update(words)
-            sizes[label] += 1
-    toxic, ordinary = _marked(counts[1], sizes[1], counts[0], sizes[0]), _marked(counts[0], sizes[0], counts[1], sizes[1])
-    own = {*toxic, *ordinary}
-    shared = [w for w, _ in sorted(every.items(), key=lambda x: (-x[1], x[0])) if w not in own][:SHARED]
-    coded = lambda words: b"".join(xxhash.xxh3_128_digest(w) for w in reversed(words)).ljust(16, b"\0") + bytes(16)  # noqa: E731  the end of a dictionary isn't indexed
-    scorer = ToxicScorer((_press(coded([*toxic, *shared])), _press(coded([*ordinary, *shared]))))
+    for_dictionary = np.arange(len(keep)) % 8 < 5
+    toxic, ordinary = ([t for t, d, label in zip(texts, for_dictionary, y, strict=True) if d and label == k] for k in (1, 0))
+    cut = len(ordinary) * 3 // 4
+    shared = b"".join(x for t in ordinary[:cut] for x in _windows(t, 1 << 40))[-SHARED:].rjust(64)
+    press = _matcher(shared)
+    learned = [_trained(_costly(some, press), LEARNED, k=32, d=8) for some in (toxic, ordinary[cut:])]
+    scorer = ToxicScorer((*learned, shared))
     return scorer.fit([t for t, d in zip(texts, for_dictionary, strict=True) if not d], y[~for_dictionary], labelled.attrs.get("prior", 0.5))
 
 
@@ -278,4 +291,5 @@ def op2_compression_quality(spark, sf_dir: str) -> DataFrame:
 
 
 def op3_compression_toxicity(spark, sf_dir: str) -> DataFrame:
+    """Toxicity of all documents, at a threshold of 0.5; see ``score_toxic``."""
     return score_toxic(common.table(spark, sf_dir, "documents"), common.table(spark, sf_dir, "labels"))
