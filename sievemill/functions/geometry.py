@@ -12,7 +12,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, BooleanType, DoubleType
+from pyspark.sql.types import ArrayType, BooleanType, DoubleType, StructField, StructType
 
 #: How far beyond the edges a coordinate may lie and still be put onto them (fixed value).
 SNAP = 1e-7
@@ -108,25 +108,75 @@ def signed_area(polygon: Column) -> Column:
     return F.aggregate(F.zip_with(polygon, following, lambda p, q: p[0] * q[1] - q[0] * p[1]), F.lit(0.0), lambda s, x: s + x) / 2
 
 
-def line_size(quad: Column) -> Column:
-    """struct(width, height) of a text line from mean opposite sides; a line 1.5 times as high as wide is vertical, and its sides swap."""
+def line_size(polygon: Column) -> Column:
+    """struct(width, height) of a text line: the longer of each pair of opposite sides; a line 1.5 times as high as wide is vertical, and its sides swap.
+
+    A polygon of other than four corners counts as the least rectangle around it.
+    """
+    quad = F.when(F.size(polygon) == 4, polygon).otherwise(least_rectangle(F.when(F.size(polygon) != 4, polygon)))
     side = lambda a, b: F.sqrt(F.pow(quad[a][0] - quad[b][0], 2) + F.pow(quad[a][1] - quad[b][1], 2))
-    w, h = (side(0, 1) + side(3, 2)) / 2, (side(0, 3) + side(1, 2)) / 2
+    w, h = F.greatest(side(0, 1), side(3, 2)), F.greatest(side(0, 3), side(1, 2))
     turned = h >= 1.5 * w
     return F.struct(F.when(turned, h).otherwise(w).alias("width"), F.when(turned, w).otherwise(h).alias("height"))
 
 
+def rectangle_around(points: np.ndarray) -> np.ndarray:
+    """The corners of the least rectangle that holds all points, from the upper left one on; one of its sides has a side of their hull."""
+    order = points[np.lexsort((points[:, 1], points[:, 0]))]
+
+    def chain(some: np.ndarray) -> list[np.ndarray]:
+        out: list[np.ndarray] = []
+        for p in some:
+            while len(out) > 1 and (out[-1][0] - out[-2][0]) * (p[1] - out[-2][1]) <= (out[-1][1] - out[-2][1]) * (p[0] - out[-2][0]):
+                out.pop()
+            out.append(p)
+        return out[:-1]
+
+    hull = np.array([*chain(order), *chain(order[::-1])]).reshape(-1, 2)
+    if len(hull) < 3:
+        hull = np.array([order[0], order[-1]])
+    best = None
+    for p, q in zip(hull, np.roll(hull, -1, axis=0), strict=True):
+        length = np.hypot(*(q - p))
+        if not length:
+            continue
+        along = (q - p) / length
+        axes = np.array([along, [-along[1], along[0]]])
+        seen = hull @ axes.T
+        low, high = seen.min(0), seen.max(0)
+        size = float(np.prod(high - low))
+        if best is None or size < best[0]:
+            corners = np.array([[low[0], low[1]], [high[0], low[1]], [high[0], high[1]], [low[0], high[1]]]) @ axes
+            best = size, corners
+    corners = best[1] if best is not None else np.repeat(hull[:1], 4, axis=0)
+    middle = corners.mean(0)
+    corners = corners[np.argsort(np.arctan2(corners[:, 1] - middle[1], corners[:, 0] - middle[0]), kind="stable")]  # clockwise in image coordinates
+    return np.roll(corners, -int(corners.sum(1).argmin()), axis=0)
+
+
+@F.pandas_udf(ArrayType(ArrayType(DoubleType())))
+def least_rectangle(polygons: pd.Series) -> pd.Series:
+    """``rectangle_around`` of each polygon of three points or more; null otherwise."""
+    return pd.Series([rectangle_around(np.array(_lists(p))).tolist() if p is not None and len(p) > 2 else None for p in polygons])
+
+
 def quad_of(values: Column) -> Column:
-    """A quad from 4 numbers (a box) or 8 (corners); null otherwise."""
-    return F.when(F.size(values) == 4, box_polygon(values)).when(F.size(values) == 8, F.array(*[F.array(values[2 * k], values[2 * k + 1]) for k in range(4)]))
+    """A quad from 4 numbers (a box whose far corner lies beyond the near one) or 8 (corners); null otherwise."""
+    upright = (F.size(values) == 4) & (values[2] > values[0]) & (values[3] > values[1])
+    return F.when(upright, box_polygon(values)).when(F.size(values) == 8, F.array(*[F.array(values[2 * k], values[2 * k + 1]) for k in range(4)]))
+
+
+#: What a corner's cross product and a quad's area have to exceed (fixed values).
+LEAST_TURN, LEAST_AREA = 1e-8, 1e-6
 
 
 def convex_clockwise(quad: Column) -> Column:
-    """The quad with corners clockwise, or null where it is crossed, not convex or flat."""
+    """The quad with corners clockwise, or null where it is crossed, not convex, flat or not finite."""
     turn = lambda q, k: (q[(k + 1) % 4][0] - q[k][0]) * (q[(k + 2) % 4][1] - q[(k + 1) % 4][1]) - (q[(k + 1) % 4][1] - q[k][1]) * (q[(k + 2) % 4][0] - q[(k + 1) % 4][0])
     turns = F.array(*[turn(quad, k) for k in range(4)])
     reversed_ = F.array(quad[0], quad[3], quad[2], quad[1])
-    return F.when(F.size(quad) != 4, None).when(F.forall(turns, lambda t: t > 0), quad).when(F.forall(turns, lambda t: t < 0), reversed_)
+    bad = (F.size(quad) != 4) | ~F.forall(quad, lambda p: finite(p[0]) & finite(p[1])) | (F.abs(signed_area(quad)) < LEAST_AREA)
+    return F.when(bad, None).when(F.forall(turns, lambda t: t > LEAST_TURN), quad).when(F.forall(turns, lambda t: t < -LEAST_TURN), reversed_)
 
 
 def rescaled(polygon: Column, sx: Column, sy: Column) -> Column:
@@ -156,24 +206,24 @@ def _lists(values) -> list[list[float]]:
 
 
 def grown_crops(boxes: list[list[float]], width: float, height: float, least_w: float, least_h: float, context: float, most: int) -> list[list[float]]:
-    """Crops around boxes: centred, with context, moved into the image, grown until they cut no box that they touch; equal ones once, the first ``most``."""
-    found: list[list[float]] = []
+    """Crops of whole pixels around boxes: centred, with context, moved into the image, grown until they cut no box that they touch; equal ones once, the first ``most``."""
+    found: dict[tuple, None] = {}
     b = np.array(boxes, float).reshape(-1, 4)
-    for x0, y0, x1, y1 in b:
-        w, h = min(width, max(least_w, (x1 - x0) * (1 + 2 * context))), min(height, max(least_h, (y1 - y0) * (1 + 2 * context)))
-        left, top = min(max((x0 + x1 - w) / 2, 0), width - w), min(max((y0 + y1 - h) / 2, 0), height - h)
-        crop = np.array([left, top, left + w, top + h])
+    near, far = np.floor(b[:, :2]), np.ceil(b[:, 2:])
+    extent = np.array([width, height])
+    size = np.minimum(extent, np.maximum([least_w, least_h], np.ceil((b[:, 2:] - b[:, :2]) * (1 + 2 * context))))
+    corner = np.minimum(np.maximum(0, np.floor((b[:, :2] + b[:, 2:] - size) / 2)), extent - size)
+    for crop in np.hstack([corner, corner + size]):
         while True:
-            touched = b[(b[:, 0] < crop[2]) & (crop[0] < b[:, 2]) & (b[:, 1] < crop[3]) & (crop[1] < b[:, 3])]
-            wide = np.concatenate([np.minimum(crop[:2], touched[:, :2].min(0, initial=np.inf)), np.maximum(crop[2:], touched[:, 2:].max(0, initial=-np.inf))])
+            touched = (b[:, 0] < crop[2]) & (crop[0] < b[:, 2]) & (b[:, 1] < crop[3]) & (crop[1] < b[:, 3])
+            wide = np.concatenate([np.minimum(crop[:2], near[touched].min(0, initial=np.inf)), np.maximum(crop[2:], far[touched].max(0, initial=-np.inf))])
             if (wide == crop).all():
                 break
-            crop = wide
-        if crop.tolist() not in found:
-            found.append(crop.tolist())
+            crop = wide  # noqa: PLW2901
+        found[tuple(crop.tolist())] = None
         if len(found) == most:
             break
-    return found
+    return [list(c) for c in found]
 
 
 def text_crops(boxes: Column, width: Column, height: Column, least_w: float, least_h: float, context: float, most: int) -> Column:
@@ -253,3 +303,39 @@ def homography(quads: pd.Series, widths: pd.Series, heights: pd.Series) -> pd.Se
             return None
 
     return pd.Series([solve(q, w, h) for q, w, h in zip(quads, widths, heights, strict=True)])
+
+
+def trust_map(lines: Column, width: int, height: int, weight: float) -> Column:
+    """By pixel 1, but ``weight`` within lines that the teacher misread though they are valid and aligned, the least where lines overlap.
+
+    ``lines``: array of struct(polygon, valid, aligned, teacher_correct). An unknown reading is no misreading.
+    """
+    yes = lambda x: F.coalesce(x, F.lit(False))
+    misread = F.transform(F.filter(lines, lambda x: yes(x["valid"]) & yes(x["aligned"]) & yes(~x["teacher_correct"])), lambda x: x["polygon"])
+
+    @F.pandas_udf(ArrayType(DoubleType()))
+    def run(rows: pd.Series) -> pd.Series:
+        out = []
+        for polygons in rows:
+            inside = np.zeros((height, width), bool)
+            for p in polygons if polygons is not None else []:
+                inside |= raster(np.array(_lists(p)), width, height)
+            out.append(np.where(inside, min(weight, 1.0), 1.0).ravel().tolist())
+        return pd.Series(out)
+
+    return run(misread)
+
+
+@F.pandas_udf(StructType([StructField("variance", DoubleType()), StructField("deviation", DoubleType())]))
+def sharpness(rows: pd.Series, widths: pd.Series) -> pd.DataFrame:
+    """Of grey values row by row: the variance of the four-neighbour Laplacian, edges mirrored, and the standard deviation of the values (G22); null without values."""
+    out = []
+    for values, width in zip(rows, widths, strict=True):
+        if values is None or not len(values) or not width:
+            out.append((None, None))
+            continue
+        image = np.asarray(values, float).reshape(-1, int(width))
+        wide = np.pad(image, 1, mode="reflect" if min(image.shape) > 1 else "edge")
+        laplacian = wide[:-2, 1:-1] + wide[2:, 1:-1] + wide[1:-1, :-2] + wide[1:-1, 2:] - 4 * image
+        out.append((float(laplacian.var()), float(image.std())))
+    return pd.DataFrame(out, columns=["variance", "deviation"])

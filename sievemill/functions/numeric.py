@@ -113,7 +113,7 @@ def smoothed(values: Column, decay: float) -> Column:
 
 
 def divergence(p: Column, q: Column, temperature: float = 1.0) -> Column:
-    """KL(p || q) of two distributions times the temperature squared; classes without mass in p add nothing."""
+    """KL(p || q) of two distributions times the temperature squared; classes without mass in p add nothing."""
     term = F.zip_with(p, q, lambda a, b: F.when(a > 0, a * (F.ln(a) - F.ln(F.greatest(b, F.lit(1e-12))))).otherwise(0.0))
     return F.aggregate(term, F.lit(0.0), lambda s, x: s + x) * temperature**2
 

@@ -14,7 +14,7 @@ import unicodedata
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType
+from pyspark.sql.types import ArrayType, StringType
 
 #: File name endings of images, and labels that mark a line as not to be judged (fixed values).
 IMAGE_SUFFIXES = ("png", "jpg", "jpeg", "bmp", "webp", "tif", "tiff")
@@ -44,6 +44,17 @@ def collapsed(text: Column) -> Column:
     return F.when(_ascii(text), F.trim(F.regexp_replace(text, _ASCII_SPACE, " "))).otherwise(_nfc(text))
 
 
+@F.pandas_udf(ArrayType(StringType()))
+def _nfc_list(lists: pd.Series) -> pd.Series:
+    return lists.map(lambda x: None if x is None else [None if t is None else " ".join(unicodedata.normalize("NFC", t).split()) for t in x])
+
+
+def collapsed_list(texts: Column) -> Column:
+    """``collapsed`` of each text of an array: lambdas can't call an Arrow UDF, so the whole array goes through one where any text is beyond ASCII."""
+    plain = F.forall(texts, lambda t: t.isNull() | _ascii(t))
+    return F.when(plain, F.transform(texts, lambda t: F.trim(F.regexp_replace(t, _ASCII_SPACE, " ")))).otherwise(_nfc_list(texts))
+
+
 def compact(text: Column, ignore_case: bool = False) -> Column:
     """NFKC without any white space, lower-cased on demand. Null stays null."""
     out = F.when(_ascii(text), F.regexp_replace(text, _ASCII_SPACE, "")).otherwise(_nfkc(text))
@@ -115,3 +126,11 @@ def blank(text: Column) -> Column:
 def split_limited(text: Column, separator: str, fields: int) -> Column:
     """At most ``fields`` parts; the last keeps further separators."""
     return F.split(text, separator, fields)
+
+
+def html_escaped(text: Column) -> Column:
+    """Text for HTML, quotes included (F7). The ampersand goes first."""
+    out = text
+    for raw, safe in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ('"', "&quot;"), ("'", "&#x27;")):
+        out = F.replace(out, F.lit(raw), F.lit(safe))
+    return out

@@ -32,6 +32,16 @@ def histogram(rows: DataFrame, value: Column, bins: int = 20) -> DataFrame:
     return rows.select(F.least(F.lit(bins - 1), F.floor(value * bins)).cast("int").alias("bin")).where(F.col("bin").isNotNull()).groupBy("bin").agg(F.count(F.lit(1)).alias("n"))
 
 
+def histogram_totals(rows: DataFrame, value: Column) -> DataFrame:
+    """Count, sum and mean of the values that a histogram shows (A5); the sum of none is 0, the mean null."""
+    return rows.agg(F.count(value).alias("n"), F.coalesce(F.sum(value), F.lit(0.0)).alias("total"), F.avg(value).alias("mean"))
+
+
+def metric_means(rows: DataFrame, names: list[str], *by: str) -> DataFrame:
+    """Means over images of full-reference metrics, those that are known, and the number of images."""
+    return rows.groupBy(*by).agg(F.count(F.lit(1)).alias("images"), *[F.avg(n).alias(n) for n in names])
+
+
 def joined_words(rows: DataFrame, keys: list[str], order: str, text: str = "text") -> DataFrame:
     """Words of a line in their order, its box and its least confidence (A6). ``rows``: keys, order, text, bbox, confidence. A line's words are few."""
     words = F.transform(F.array_sort(F.collect_list(F.struct(order, text))), lambda w: w[text])
@@ -60,8 +70,11 @@ def import_counters(rows: DataFrame, lines: str, skipped: str, invalid: str) ->
 
 
 def charset(lines: DataFrame, glyphs: str) -> DataFrame:
-    """The different characters of valid, aligned lines, sorted (A26). ``lines``: valid, aligned and an array of glyphs."""
-    return lines.where("valid AND aligned").select(F.explode(glyphs).alias("character")).distinct().orderBy("character")
+    """The different characters of valid, aligned lines, sorted (A26); none at all is an error. ``lines``: valid, aligned and an array of glyphs."""
+    found = lines.where("valid AND aligned").select(F.explode(glyphs).alias("character")).distinct()
+    if not found.limit(1).count():
+        raise ValueError("no character in valid, aligned lines")
+    return found.orderBy("character")
 
 
 def largest_variant(variants: Column) -> Column:

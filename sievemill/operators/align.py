@@ -37,32 +37,45 @@ def aligned(students: list[DataFrame], teachers: list[DataFrame], keys: list[str
 
     One teacher serves all students, or each has its own. Keys are unique in each run. Unless ``allow_intersection``, all runs have to have
     the same keys. Rows of a key must agree in label, size, and, as far as they have them, quad and image size.
-    ``student`` and ``teacher`` are the rows' ``pred`` structs.
+    ``student`` and ``teacher`` are the rows' ``pred`` structs. One grouping of the tagged union does all: rows that break a rule
+    raise an error when they are computed, and nothing is computed before.
     """
     if len(teachers) not in (1, len(students)):
         raise ValueError("one teacher or one for each student is needed")
     every = [*students, *teachers]
-    for r in every:
-        require_unique(r, *keys)
-    if not allow_intersection:
-        require_empty(alignment_audit(every, keys).where(F.col("n_runs") < len(every)), "keys that not all runs have")
     fields = ["label", "norm_label", "size", "quad", "sr_size", "pred"]
     tagged = reduce(DataFrame.unionByName, [r.select(*keys, F.lit(k).alias("__run"), F.struct(*fields).alias("__row")) for k, r in enumerate(every)])
-    # one shuffle for all runs: a map from run to row by key, whose size is the number of runs
-    rows = tagged.groupBy(*keys).agg(F.map_from_entries(F.collect_list(F.struct("__run", "__row"))).alias("__m")).where(F.size("__m") == len(every))
-    first = F.col("__m")[0]
-    others = F.map_values("__m")
+    runs = range(len(every))
+    own = lambda k: F.col("__run") == k
+    found = tagged.groupBy(*keys).agg(
+        *[F.count_if(own(k)).alias(f"__n{k}") for k in runs],
+        *[F.any_value(F.when(own(k), F.col("__row")), True).alias(f"__r{k}") for k in runs],
+    )
+    twice = reduce(lambda a, b: a | b, [F.col(f"__n{k}") > 1 for k in runs])
+    whole = reduce(lambda a, b: a & b, [F.col(f"__n{k}") == 1 for k in runs])
+    others, first = F.array(*[F.col(f"__r{k}") for k in runs]), F.col("__r0")
+    quads = F.filter(F.transform(others, lambda o: o["quad"]), lambda q: q.isNotNull())
     checks = {
         "label": F.forall(others, lambda r: r["norm_label"].eqNullSafe(first["norm_label"])),
         "size": F.forall(others, lambda r: F.coalesce(close(r["size"], first["size"]), F.lit(False))),
-        "quad": F.forall(others, lambda r: quads_close(r["quad"], F.filter(F.transform(others, lambda o: o["quad"]), lambda q: q.isNotNull())[0])),
+        "quad": F.forall(others, lambda r: quads_close(r["quad"], F.get(quads, F.lit(0)))),
         "sr_size": F.size(F.array_distinct(F.filter(F.transform(others, lambda r: r["sr_size"]), lambda s: s.isNotNull()))) <= 1,
     }
-    bad = F.coalesce(*[F.when(~ok, name) for name, ok in checks.items()])
-    checked = rows.withColumn("__bad", bad).withColumn("__ok", F.when(F.col("__bad").isNotNull(), F.raise_error(F.concat(F.lit("runs differ in "), F.col("__bad")))).otherwise(F.lit(True)))
+    differs = F.coalesce(*[F.when(whole & ~ok, f"runs differ in {name}") for name, ok in checks.items()])
+    gap = F.when(~whole & F.lit(not allow_intersection), "keys that not all runs have")
+    fault = F.coalesce(F.when(twice, f"duplicate {', '.join(keys)}"), gap, differs)
+    message = F.concat(fault, F.lit(": "), F.to_json(F.struct(*keys)))
+    kept = found.where(F.when(fault.isNotNull(), F.raise_error(message).cast("boolean")).otherwise(whole))
     n = len(students)
-    pairs = F.explode(F.array(*[F.struct(F.lit(k).alias("run"), F.col("__m")[k]["pred"].alias("student"), F.col("__m")[n + (k if len(teachers) > 1 else 0)]["pred"].alias("teacher")) for k in range(n)]))
-    out = checked.where("__ok").select(*keys, first["label"].alias("label"), first["norm_label"].alias("norm_label"), F.length(first["norm_label"]).alias("label_length"), first["size"].alias("size"), pairs.alias("__p"))
+    pair = lambda k: F.struct(F.lit(k).alias("run"), F.col(f"__r{k}.pred").alias("student"), F.col(f"__r{n + (k if len(teachers) > 1 else 0)}.pred").alias("teacher"))
+    out = kept.select(
+        *keys,
+        first["label"].alias("label"),
+        first["norm_label"].alias("norm_label"),
+        F.length(first["norm_label"]).alias("label_length"),
+        first["size"].alias("size"),
+        F.explode(F.array(*[pair(k) for k in range(n)])).alias("__p"),
+    )
     return out.select("*", "__p.*").drop("__p")
 
 
@@ -113,7 +126,11 @@ def hard_cases(rows: DataFrame, largest: float, least_score: float) -> DataFrame
 
 
 def mining_report(rows: DataFrame, name: str) -> DataFrame:
-    """One row: lines, images, aligned lines, and a digest of the images' sorted names (A19). The names meet once, distinct."""
-    names = rows.select(name).distinct().agg(F.count(name).alias("images"), F.sha2(F.array_join(F.array_sort(F.collect_list(name)), "\n"), 256).alias("names_sha256"))
-    counts = rows.agg(F.count(F.lit(1)).alias("lines"), F.count_if("alignment_valid").alias("aligned_lines"))
-    return counts.withColumn("__one", F.lit(1)).join(names.withColumn("__one", F.lit(1)), "__one").drop("__one")
+    """One row: lines, images, aligned lines, and a digest of the images' sorted names.
+
+    The digest needs the distinct names of the images that have a hard case in one row; a list of these is what the report is for.
+    """
+    each = rows.groupBy(name).agg(F.count(F.lit(1)).alias("n"), F.count_if("alignment_valid").alias("a"))
+    names = F.sha2(F.array_join(F.array_sort(F.collect_list(name)), "\n"), 256)
+    total = lambda c: F.coalesce(F.sum(c), F.lit(0)).alias
+    return each.agg(total("n")("lines"), total("a")("aligned_lines"), F.count(name).alias("images"), names.alias("names_sha256"))

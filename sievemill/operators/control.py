@@ -34,8 +34,8 @@ def first_wins(rows: DataFrame, digest: str, order: str, key: str, able: Column
 
 
 def latest(rows: DataFrame, key: str, version: str) -> DataFrame:
-    """The newest row of each key: an upsert of a union."""
-    order = W.partitionBy(key).orderBy(F.desc(version))
+    """The newest row of each key: an upsert of a union. Of equally new ones the least by a hash of all columns, so the choice doesn't go by partitions."""
+    order = W.partitionBy(key).orderBy(F.desc(version), F.xxhash64(*rows.columns))
     return rows.withColumn("__r", F.row_number().over(order)).where("__r = 1").drop("__r")
 
 

@@ -12,7 +12,8 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from ..functions.geometry import finite
-from ..functions.text import blank, collapsed
+from ..functions.text import blank, collapsed, collapsed_list
+from .match import greedy_match
 
 
 @dataclass(frozen=True)
@@ -58,18 +59,17 @@ def assess(
     """struct(status, reasons, labels, error) of a record.
 
     Evidence given as None isn't asked for. ``error`` is set where a score isn't finite, a glyph status is unknown or a verified
-    one has no evidence: such records are errors, whatever the status says. Where the text is rejected, later stages are not
-    looked at: the glyph counts as unverifiable and all scores as missing.
+    one has no evidence: such records are errors, whatever the status says. All evidence counts, whatever the text's; a flow that
+    doesn't look at later evidence once the text is rejected passes it as null (see ``plans.curation``). A null glyph status is unverifiable.
     """
     none = F.array().cast("array<string>")
     rejected = text_rejections(predictions, least_confidence) if predictions is not None else none
-    read = F.size(rejected) == 0
     review = [_reasons((F.lit(audit), "audit_mode_uncalibrated"))]
     errors = []
     if reference_status is not None:
         review.append(_reasons((reference_status == "conflict", "text_reference_conflict"), (reference_status.isNull() | ~reference_status.isin("conflict", "matched"), "text_reference_unverifiable")))
     if glyph_status is not None:
-        seen = F.when(read, glyph_status).otherwise("unverifiable")
+        seen = F.coalesce(glyph_status, F.lit("unverifiable"))
         errors.append(F.when(~F.coalesce(seen.isin("verified", "conflict", "unverifiable"), F.lit(False)), "unknown_glyph_status"))
         if glyph_evidence is not None:
             errors.append(F.when((seen == "verified") & blank(glyph_evidence), "verified_glyph_without_evidence"))
@@ -78,7 +78,7 @@ def assess(
     for rule in rules:
         score = scores[rule.name]
         errors.append(F.when(score.isNotNull() & ~finite(score), f"score_not_finite:{rule.name}"))
-        found = score_outcome(F.when(read, score), rule)
+        found = score_outcome(score, rule)
         labels += [F.lit(rule.name), found]
         rejected = F.concat(rejected, _reasons((found == "fail", f"low_iqa:{rule.name}")))
         review.append(_reasons((found == "missing", f"missing_iqa:{rule.name}")))
@@ -103,3 +103,23 @@ def reference_status(conflicts: Column, unmatched: Column, missing: Column, pred
 def same_text(a: Column, b: Column) -> Column:
     """Equal but for form and white space; case counts."""
     return collapsed(a).eqNullSafe(collapsed(b))
+
+
+def reference_check(predictions: Column, trusted: Column, original: Column, least_overlap: float, least_original: float) -> Column:
+    """struct(status, conflicts, unmatched, missing): predictions held against ``reference_set`` by greedy overlap.
+
+    Each prediction in turn takes the unused reference that it overlaps most, if enough; the texts have to be the same. Arrays of
+    struct(bbox, text, ...); null counts as empty. All within the row: no join.
+    """
+    empty = lambda c: F.coalesce(c, F.slice(F.array(F.struct(F.array(F.lit(0.0)).alias("bbox"), F.lit("").alias("text"))), 1, 0))
+    short = lambda c: empty(F.transform(c, lambda r: F.struct(r["bbox"].alias("bbox"), r["text"].alias("text"))))
+    given, held = short(predictions), short(reference_set(trusted, original, least_original))
+    found = greedy_match(F.transform(given, lambda r: r["bbox"]), F.transform(held, lambda r: r["bbox"]), least_overlap)
+    read = collapsed_list(F.transform(given, lambda r: r["text"]))
+    known = collapsed_list(F.transform(found, lambda k: F.get(held, k)["text"]))
+    same = F.zip_with(read, known, lambda a, b: a.eqNullSafe(b))
+    pairs = F.zip_with(same, found, lambda s, k: F.when(k < 0, "none").when(s, "match").otherwise("conflict"))
+    count = lambda what: F.size(F.filter(pairs, lambda x: x == what))
+    missing = F.size(held) - F.size(F.filter(found, lambda k: k >= 0))
+    status = reference_status(count("conflict"), count("none"), missing, F.size(given))
+    return F.struct(status.alias("status"), count("conflict").alias("conflicts"), count("none").alias("unmatched"), missing.alias("missing"))

@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
+import math
+from collections.abc import Iterator
+
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.text import edit_distance
+from ..session import written
 
 
 def text_measures(text: Column, label: Column) -> dict[str, Column]:
@@ -72,7 +77,7 @@ def paired_metrics(totals: DataFrame) -> DataFrame:
 def seed_average(rows: DataFrame, *key: str) -> DataFrame:
     """Means over runs of edits, correctness, joint correctness and distance; a distance only where all runs have it."""
     whole = lambda c: F.when(F.count(c) == F.count(F.lit(1)), F.avg(c)).alias(c)
-    return rows.groupBy(*key).agg(F.first("label_length").alias("label_length"), *[F.avg(F.col(c).cast("double")).alias(c) for c in PAIRED[2:7]], whole("teacher_distance"), whole("student_distance"))
+    return rows.groupBy(*key).agg(F.max("label_length").alias("label_length"), *[F.avg(F.col(c).cast("double")).alias(c) for c in PAIRED[2:7]], whole("teacher_distance"), whole("student_distance"))
 
 
 def bin_table(edges: list[float]) -> list[tuple[str, float, float]]:
@@ -95,31 +100,134 @@ def height_bins(rows: DataFrame, height: str, edges: list[float]) -> DataFrame:
 
 
 def percentiles(rows: DataFrame, value: str, at: list[float], *by: str) -> DataFrame:
-    """Linear between the neighbours of position (n - 1) q."""
-    return rows.groupBy(*by).agg(F.percentile(F.col(value).cast("double"), F.array(*[F.lit(q) for q in at])).alias("percentiles"))
-
+    """Linear between the neighbours of position (n - 1) q (A16): by, percentiles. Null values are passed over; a group without any has none.
 
-def bootstrap(rows: DataFrame, group: str, cluster: str, numerator: str, denominator: str, *, samples: int = 1000, least: int = 2, level: float = 0.95, seed: int = 0) -> DataFrame:
-    """Percentile interval of a ratio of sums, resampling whole clusters with replacement (A15): group, clusters, estimate, low, high, status.
+    Exact, and no group has to fit into a task: equal values are counted, the counts are dealt out in their order and written once,
+    and only one row a group and part carries the positions on. Of the rest the two values next to each position are read.
+    """
+    v = F.col(value).cast("double")
+    counts = rows.where(v.isNotNull()).groupBy(*by, v.alias("__v")).agg(F.count(F.lit(1)).alias("__n"))
+    dealt = written(counts.repartitionByRange(*[F.col(c) for c in by], F.col("__v")).withColumn("__part", F.spark_partition_id()), "percentiles")
+    parts = dealt.groupBy(*by, "__part").agg(F.sum("__n").alias("__m"))
+    ahead = W.partitionBy(*by).orderBy("__part").rowsBetween(W.unboundedPreceding, -1)
+    base = parts.select(*by, "__part", F.coalesce(F.sum("__m").over(ahead), F.lit(0)).alias("__b"), F.sum("__m").over(W.partitionBy(*by)).alias("__all"))
+    base = base.select(*[F.col(c).alias(f"__by_{c}") for c in by], F.col("__part").alias("__in"), "__b", "__all")
+    same = F.col("__part") == F.col("__in")
+    for c in by:
+        same = same & F.col(c).eqNullSafe(F.col(f"__by_{c}"))
+    before = W.partitionBy(*by, "__part").orderBy("__v").rowsBetween(W.unboundedPreceding, -1)
+    placed = dealt.withColumn("__l", F.coalesce(F.sum("__n").over(before), F.lit(0))).join(base, same)
+    start = F.col("__b") + F.col("__l")
+    position = lambda q: (F.col("__all") - 1) * F.lit(float(q))
+    value_at = lambda place: F.max(F.when((start <= place) & (place < start + F.col("__n")), F.col("__v")))
+    found = placed.groupBy(*by).agg(
+        F.max("__all").alias("__all"),
+        *[value_at(F.floor(position(q))).alias(f"__lo{k}") for k, q in enumerate(at)],
+        *[value_at(F.ceil(position(q))).alias(f"__hi{k}") for k, q in enumerate(at)],
+    )
+    between = [F.col(f"__lo{k}") + (F.col(f"__hi{k}") - F.col(f"__lo{k}")) * (position(q) - F.floor(position(q))) for k, q in enumerate(at)]
+    return found.select(*by, F.array(*between).alias("percentiles"))
+
+
+#: The probabilities of a Poisson count of mean 1 up to 0, 1, 2 and so on.
+_POISSON = np.cumsum([np.exp(-1.0) / math.factorial(k) for k in range(16)])
+
+
+def _times(hashes: np.ndarray, samples: int, seed: int) -> np.ndarray:
+    """How often each cluster counts in each replicate (clusters, samples): from a hash of (seed, cluster, replicate) alone."""
+    with np.errstate(over="ignore"):
+        x = hashes.astype(np.uint64)[:, None] * np.uint64(0x9E3779B97F4A7C15) + np.uint64(seed & 0xFFFFFFFFFFFFFFFF)
+        x = (x ^ (x >> np.uint64(31))) + np.arange(1, samples + 1, dtype=np.uint64)[None, :] * np.uint64(0xD1B54A32D192ED03)
+        for shift, factor in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):
+            x = (x ^ (x >> np.uint64(shift))) * np.uint64(factor)
+    return np.searchsorted(_POISSON, (x >> np.uint64(11)) * 2.0**-53, side="right")
+
+
+def replicates(rows: DataFrame, group: str, cluster: str, totals: list[str], samples: int, seed: int) -> DataFrame:
+    """Per group and replicate the sums of ``totals`` over clusters that are resampled with replacement: group, replicate, totals.
 
     Clusters are summed before anything moves. A replicate gives each cluster a Poisson count, which many clusters make the same as
-    drawing with replacement, from a hash of (seed, replicate, cluster): so replicates are sums that combine before the shuffle, and no
-    group has to fit into one task. Replicates without a denominator don't count.
+    drawing with replacement. A task adds up its clusters for all replicates at once, so what moves then is a row for each
+    group, replicate and task, and no group has to fit into one.
+    """
+    per = rows.groupBy(group, cluster).agg(*[F.sum(F.col(c).cast("double")).alias(c) for c in totals])
+    hashed = per.select(group, F.xxhash64(cluster).alias("__h"), *[F.coalesce(c, F.lit(0.0)).alias(c) for c in totals])
+    kind = hashed.schema[group].dataType.simpleString()
+
+    def run(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict = {}
+        for frame in frames:
+            values = np.stack([frame.column(2 + k).to_numpy(zero_copy_only=False) for k in range(len(totals))])
+            hashes, codes = frame.column(1).to_numpy().view(np.uint64), frame.column(0).dictionary_encode()
+            if isinstance(codes, pa.ChunkedArray):
+                codes = codes.combine_chunks()
+            index, names = codes.indices.fill_null(-1).to_numpy(zero_copy_only=False), [*codes.dictionary.to_pylist(), None]
+            for code in np.unique(index):
+                some = np.flatnonzero(index == code)
+                total = held.setdefault(names[code], np.zeros((len(totals), samples)))
+                for k in range(0, len(some), 512):
+                    part = some[k : k + 512]
+                    total += values[:, part] @ _times(hashes[part], samples, seed)
+        for name, total in held.items():
+            columns = [pa.array([name] * samples, frame.schema.field(0).type), pa.array(np.arange(samples, dtype=np.int32)), *map(pa.array, total)]
+            yield pa.RecordBatch.from_arrays(columns, [group, "replicate", *totals])
+
+    each = hashed.mapInArrow(run, f"`{group}` {kind}, replicate int, " + ", ".join(f"`{c}` double" for c in totals))
+    return each.groupBy(group, "replicate").agg(*[F.sum(c).alias(c) for c in totals])
+
+
+def _interval_status(samples: int, least: int) -> Column:
+    few = F.concat(F.lit("insufficient_images:"), F.col("clusters"), F.lit(f"<{least}"))
+    return F.when(F.lit(samples <= 0), "disabled").when(F.col("clusters") < least, few).otherwise("paired_image_percentile")
+
+
+def bootstrap(
+    rows: DataFrame, group: str, cluster: str, numerator: str, denominator: str, *, samples: int = 1000, least: int = 2, level: float = 0.95, seed: int = 0
+) -> DataFrame:
+    """Percentile interval of a ratio of sums, resampling whole clusters (A15): group, clusters, estimate, low, high, valid_samples, status.
+
+    Replicates without a denominator don't count. See ``replicates``.
     """
-    per = rows.groupBy(group, cluster).agg(F.sum(F.col(numerator).cast("double")).alias("x"), F.sum(F.col(denominator).cast("double")).alias("y"))
-    whole = per.groupBy(group).agg(F.count(F.lit(1)).alias("clusters"), F.try_divide(F.sum("x"), F.sum("y")).alias("estimate"))
+    x, y = F.col(numerator).cast("double"), F.col(denominator).cast("double")
+    whole = rows.groupBy(group).agg(F.count_distinct(cluster).alias("clusters"), F.try_divide(F.sum(x), F.sum(y)).alias("estimate"))
     enough = whole.where((F.col("clusters") >= least) & F.lit(samples > 0)).select(F.col(group).alias("__g"))
-    steps = np.cumsum([np.exp(-1) / float(np.prod(np.arange(1, k + 1))) if k else np.exp(-1) for k in range(12)])
-
-    @F.pandas_udf("array<tinyint>")
-    def counts(h: pd.Series) -> pd.Series:
-        out = []
-        for x in h:
-            out.append(np.searchsorted(steps, np.random.default_rng([seed & 0xFFFFFFFF, x & 0xFFFFFFFFFFFFFFFF]).random(samples), side="right").astype(np.int8))
-        return pd.Series(out)
-
-    drawn = per.join(enough, F.col(group) == F.col("__g"), "left_semi").select(group, "x", "y", F.posexplode(counts(F.xxhash64(cluster))).alias("replicate", "times")).where("times > 0")
-    replicates = drawn.groupBy(group, "replicate").agg(F.try_divide(F.sum(F.col("x") * F.col("times")), F.sum(F.col("y") * F.col("times"))).alias("r"))
-    interval = replicates.groupBy(F.col(group).alias("__g")).agg(F.percentile("r", F.array(F.lit((1 - level) / 2), F.lit((1 + level) / 2))).alias("p"))
-    status = F.when(F.lit(samples <= 0), "disabled").when(F.col("clusters") < least, F.concat(F.lit("insufficient_images:"), F.col("clusters"), F.lit(f"<{least}"))).otherwise("paired_image_percentile")
-    return whole.join(interval, F.col(group) == F.col("__g"), "left").select(group, "clusters", "estimate", F.col("p")[0].alias("low"), F.col("p")[1].alias("high"), status.alias("status"))
+    able = rows.select(group, cluster, x.alias("__x"), y.alias("__y")).join(enough, F.col(group).eqNullSafe(F.col("__g")), "left_semi")
+    drawn = replicates(able, group, cluster, ["__x", "__y"], max(samples, 1), seed).select(F.col(group).alias("__g"), F.try_divide("__x", "__y").alias("r"))
+    tail = F.array(F.lit((1 - level) / 2), F.lit((1 + level) / 2))
+    interval = drawn.groupBy("__g").agg(F.percentile("r", tail).alias("p"), F.count("r").alias("v"))  # as many values as samples
+    out = whole.join(interval, F.col(group).eqNullSafe(F.col("__g")), "left")
+    bounds = [F.col("p")[0].alias("low"), F.col("p")[1].alias("high"), F.coalesce("v", F.lit(0)).alias("valid_samples")]
+    return out.select(group, "clusters", "estimate", *bounds, _interval_status(samples, least).alias("status"))
+
+
+#: The ten paired metrics.
+METRICS = (
+    "teacher_cer", "student_cer", "cer_delta", "teacher_accuracy", "student_accuracy", "accuracy_delta",
+    "teacher_one_minus_ned", "student_one_minus_ned", "one_minus_ned_delta", "retention",
+)
+
+
+def bootstrap_metrics(rows: DataFrame, group: str, cluster: str, *, samples: int = 1000, least: int = 2, level: float = 0.95, seed: int = 0) -> DataFrame:
+    """Intervals of all ten paired metrics at once (A15): group, clusters, status, and a row a metric: metric, estimate, low, high, valid_samples.
+
+    A replicate counts for a metric where both it and the estimate are defined.
+    """
+    one = rows.select(
+        group, cluster, F.lit(1.0).alias("instances"), F.col("label_length").alias("characters"), *PAIRED[2:9],
+        *[F.col(f"{who}_distance").isNotNull().cast("double").alias(f"{who}_present") for who in ("student", "teacher")],
+    )
+    long = lambda frame: frame.select(group, *[c for c in frame.columns if c in ("replicate", "clusters")], F.explode(F.create_map(*[x for m in METRICS for x in (F.lit(m), F.col(m))])).alias("metric", "value"))
+    sums = [F.sum(F.col(c).cast("double")).alias(c) for c in PAIRED]
+    whole = paired_metrics(one.groupBy(group).agg(F.count_distinct(cluster).alias("clusters"), *sums))
+    estimates = long(whole).withColumnRenamed("value", "estimate")
+    enough = whole.where((F.col("clusters") >= least) & F.lit(samples > 0)).select(F.col(group).alias("__g"))
+    able = one.join(enough, F.col(group).eqNullSafe(F.col("__g")), "left_semi")
+    drawn = long(paired_metrics(replicates(able, group, cluster, list(PAIRED), max(samples, 1), seed)))
+    tail = F.array(F.lit((1 - level) / 2), F.lit((1 + level) / 2))
+    interval = drawn.groupBy(F.col(group).alias("__g"), F.col("metric").alias("__m")).agg(F.percentile("value", tail).alias("p"), F.count("value").alias("v"))
+    out = estimates.join(interval, F.col(group).eqNullSafe(F.col("__g")) & (F.col("metric") == F.col("__m")), "left")
+    defined = F.col("estimate").isNotNull()
+    return out.select(
+        group, "clusters", "metric", "estimate", F.when(defined, F.col("p")[0]).alias("low"), F.when(defined, F.col("p")[1]).alias("high"),
+        F.when(defined, F.coalesce("v", F.lit(0))).otherwise(0).alias("valid_samples"), _interval_status(samples, least).alias("status"),
+    )

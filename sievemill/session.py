@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
+import tempfile
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -16,3 +21,31 @@ def session(name: str = "sievemill", master: str | None = None, **settings: str)
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """A folder that the driver and all executors see: spark.checkpoint.dir. A local session without one gets a folder of its own, any other an error."""
+    found = spark.conf.get("spark.checkpoint.dir", None)
+    if not found:
+        kept = spark.sparkContext._jsc.sc().getCheckpointDir()
+        found = kept.get() if kept.isDefined() else None
+    if not found:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        folder = tempfile.mkdtemp(prefix="sievemill-")
+        atexit.register(shutil.rmtree, folder, ignore_errors=True)
+        found = f"file://{folder}"
+        spark.sparkContext.setCheckpointDir(found)
+    return found.rstrip("/")
+
+
+def scratch(spark: SparkSession, what: str) -> str:
+    """A path in the shared folder that nothing has been written to."""
+    return f"{shared_folder(spark)}/{what}-{uuid.uuid4().hex}"
+
+
+def written(rows: DataFrame, what: str = "rows") -> DataFrame:
+    """``rows`` as a table in the shared folder: they are computed once, and numbers of partitions stay as they are."""
+    path = scratch(rows.sparkSession, what)
+    rows.write.parquet(path)
+    return rows.sparkSession.read.schema(rows.schema).parquet(path)

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import IMAGE_SUFFIXES, file_name, image_stem, split_limited
 from ..operators.control import require_empty, require_unique
-from ..operators.validate import manifest_error
+from ..operators.validate import manifest_error, required_text
 
 REGION = "struct<polygon:array<array<double>>,bbox:array<double>,text:string,confidence:double,trusted:boolean,reliable:boolean>"
 MANIFEST = f"id string, source string, group_id string, image_path string, hr_path string, annotations array<{REGION}>, iqa map<string,struct<size:array<int>,image_sha256:string,scores:map<string,double>>>, dataset map<string,string>"
@@ -39,12 +39,35 @@ def numbered_lines(spark: SparkSession, path: str, encoding: str | None = None)
     return own.join(base, (F.col("path") == F.col("__p")) & (F.col("__block") == F.col("__b"))).select("path", number.alias("line_no"), value.alias("value"))
 
 
+def region_faults(document: Column) -> Column:
+    """Why regions of a manifest VARIANT have the wrong types, or null: ``from_json`` would null them in silence."""
+    items = F.try_variant_get(document, "$.annotations", "array<variant>")
+    given = F.variant_get(document, "$.annotations", "variant")
+    kind = lambda v, path: F.schema_of_variant(F.variant_get(v, path, "variant"))
+    number = r"^(BIGINT|DOUBLE|FLOAT|DECIMAL.*|VOID)$"
+    faults = F.transform(items, lambda v: F.coalesce(
+        F.when(~F.startswith(F.schema_of_variant(v), F.lit("OBJECT")), "region_not_an_object"),
+        F.when(~F.coalesce(kind(v, "$.confidence"), F.lit("VOID")).rlike(number), "confidence_not_a_number"),
+        F.when(~F.coalesce(kind(v, "$.text"), F.lit("VOID")).isin("STRING", "VOID"), "text_not_a_string"),
+        *[F.when(~F.coalesce(kind(v, f"$.{flag}"), F.lit("VOID")).isin("BOOLEAN", "VOID"), f"{flag}_not_a_boolean") for flag in ("trusted", "reliable")],
+    ))
+    listed = F.when(given.isNotNull() & (F.schema_of_variant(given) != "VOID") & items.isNull(), "annotations_not_a_list")
+    return F.coalesce(listed, F.get(F.array_compact(faults), F.lit(0)))
+
+
 def manifest(spark: SparkSession, path: str) -> DataFrame:
-    """Manifest records with path, line_no, raw text, the parsed ``record`` and ``error`` (S1). Blank lines are passed over; bad ones are rows keyed by their line, of source "unknown"."""
+    """Manifest records with path, line_no, raw text, the parsed ``record`` and ``error`` (S1, P1, P3). Blank lines are passed over.
+
+    A line that is no record, lacks a field, or has a region with a field of the wrong type is an error row; one without source and
+    id is keyed by its line, of source "unknown".
+    """
     rows = numbered_lines(spark, path).where(F.length(F.trim("value")) > 0).withColumn("document", F.try_parse_json("value"))
-    rows = rows.withColumn("error", manifest_error(F.col("document"))).withColumn("record", F.when(F.col("error").isNull(), F.from_json("value", MANIFEST)))
-    bad = F.col("error").isNotNull()
-    return rows.select("path", "line_no", "value", "error", "record", F.when(bad, F.concat(F.lit("invalid_line_"), "line_no")).otherwise(F.col("record.id")).alias("id"), F.when(bad, "unknown").otherwise(F.col("record.source")).alias("source"))
+    group = F.variant_get("document", "$.group_id", "variant")
+    bad_group = F.when(group.isNotNull() & ~required_text(F.col("document"), "$.group_id"), "invalid_group_id")
+    rows = rows.withColumn("__shape", manifest_error(F.col("document"))).withColumn("error", F.coalesce("__shape", bad_group, region_faults(F.col("document"))))
+    rows = rows.withColumn("record", F.when(F.col("error").isNull(), F.from_json("value", MANIFEST)))
+    named = lambda name, other: F.when(F.col("__shape").isNull(), F.try_variant_get("document", f"$.{name}", "string")).otherwise(other).alias(name)
+    return rows.select("path", "line_no", "value", "error", "record", named("id", F.concat(F.lit("invalid_line_"), "line_no")), named("source", F.lit("unknown")))
 
 
 def images(spark: SparkSession, path: str, recursive: bool = True) -> DataFrame:
@@ -141,12 +164,12 @@ def boxes(spark: SparkSession, path: str) -> DataFrame:
 
 
 def name_list(spark: SparkSession, path: str) -> DataFrame:
-    """Stems of a list of names: the first tab field, comments and blank lines passed over; an empty list is an error."""
+    """Stems of a list of names: the first tab field, comments and blank lines passed over; an empty list and a stem that comes twice are errors."""
     rows = spark.read.text(path).where((F.length(F.trim("value")) > 0) & ~F.startswith(F.ltrim("value"), F.lit("#")))
-    out = rows.select(image_stem(F.trim(F.split("value", "\t")[0])).alias("stem")).distinct()
+    out = rows.select(image_stem(F.trim(F.split("value", "\t")[0])).alias("stem"))
     if not out.limit(1).count():
         raise ValueError(f"no names in {path}")
-    return out
+    return require_unique(out, "stem")
 
 
 def repeat_list(spark: SparkSession, path: str, strict: bool = True) -> DataFrame:
@@ -192,7 +215,7 @@ def adapted_glyphs(rows: DataFrame, least: float) -> DataFrame:
 
 
 def tar_samples(spark: SparkSession, path: str) -> DataFrame:
-    """Members of tar shards by sample key: shard, key, extension, content (S13). A shard is a task's unit; broken ones end at the break."""
+    """Members of tar shards by sample key: shard, key, extension, content, error (S13). A shard is a task's unit; a broken one has a row that says where it ends."""
 
     def untar(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
@@ -203,9 +226,9 @@ def tar_samples(spark: SparkSession, path: str) -> DataFrame:
                         for member in tar:
                             if member.isfile():
                                 key, _, extension = member.name.partition(".")
-                                rows.append((shard, key, extension, tar.extractfile(member).read()))
-                except tarfile.TarError:
-                    pass
-                yield pd.DataFrame(rows, columns=["shard", "key", "extension", "content"])
+                                rows.append((shard, key, extension, tar.extractfile(member).read(), None))
+                except (tarfile.TarError, EOFError) as e:
+                    rows.append((shard, None, None, None, f"broken after {len(rows)} members: {e}"))
+                yield pd.DataFrame(rows, columns=["shard", "key", "extension", "content", "error"])
 
-    return spark.read.format("binaryFile").load(path).select("path", "content").mapInPandas(untar, "shard string, key string, extension string, content binary")
+    return spark.read.format("binaryFile").load(path).select("path", "content").mapInPandas(untar, "shard string, key string, extension string, content binary, error string")

@@ -14,11 +14,29 @@ from ..plans import curation
 
 
 def commit_batch(batch: DataFrame, number: int, state: str, schema: str) -> None:
-    """Appends the batch's new digests to the state table (digest, key, batch)."""
+    """Appends the batch's records to the state table (digest, key, id, source, state, duplicate_of, batch): complete ones, duplicates and errors.
+
+    A record without id, source or content is an error. A digest that a complete row has makes a duplicate of that row; a key that
+    another batch has committed is one that was there before, and the run stops (C1).
+    """
     spark = batch.sparkSession
     known = spark.read.schema(schema).parquet(state).where(F.col("batch") != number) if _exists(spark, state) else spark.createDataFrame([], schema)
-    fresh = curation.deduplicated(curation.identified(batch)).where("state = 'complete'").join(known.select("digest"), "digest", "left_anti")
-    fresh.select("digest", "key", "id", "source", F.lit(number).cast("long").alias("batch")).write.mode("overwrite").parquet(f"{state.rstrip('/')}/batch={number}")
+    lacking = F.coalesce(*[F.when(F.col(c).isNull(), f"missing_{c}") for c in ("id", "source", "content")])
+    rows = curation.deduplicated(curation.identified(curation.unique_ids(batch)).withColumn("error", lacking))
+    first = known.where("state = 'complete'").select(F.col("digest").alias("__d"), F.col("key").alias("__first"))
+    rows = rows.join(first, (F.col("digest") == F.col("__d")) & (F.col("state") != "error"), "left")
+    earlier = F.col("__first").isNotNull()
+    again = known.select(F.col("key").alias("__k")).distinct()
+    rows = rows.join(again, F.col("key") == F.col("__k"), "left")
+    fault = F.raise_error(F.concat(F.lit("committed before: "), F.to_json(F.struct("source", "id")))).cast("boolean")
+    rows = rows.where(F.when(F.col("__k").isNotNull() & (F.col("state") != "error"), fault).otherwise(F.lit(True)))
+    out = rows.select(
+        "digest", "key", "id", "source",
+        F.when(earlier, "duplicate").otherwise(F.col("state")).alias("state"),
+        F.when(earlier, F.col("__first")).otherwise(F.col("duplicate_of")).alias("duplicate_of"),
+        F.lit(number).cast("long").alias("batch"),
+    )
+    out.write.mode("overwrite").parquet(f"{state.rstrip('/')}/batch={number}")
 
 
 def _exists(spark: SparkSession, path: str) -> bool:
@@ -26,7 +44,7 @@ def _exists(spark: SparkSession, path: str) -> bool:
     return at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at)
 
 
-STATE = "digest string, key string, id string, source string, batch long"
+STATE = "digest string, key string, id string, source string, state string, duplicate_of string, batch long"
 
 
 def curate_stream(spark: SparkSession, incoming: str, state: str, checkpoint: str) -> StreamingQuery:

@@ -117,9 +117,52 @@ def test_box_relations(spark):
     assert (round(r.i, 9), r.z, r.t, r.c, r.n, r.area) == (round(25 / 175, 9), 0.0, False, True, [[1.0, 1.0, 3.0, 3.0]], 12.0)
 
 
-@pytest.mark.parametrize(("w", "h", "height"), [(100, 20, 20), (20, 100, 20), (24, 34, 34), (20, 34, 20)])
-def test_line_sizes(spark, w, h, height):
-    assert one(spark, s=g.line_size(g.box_polygon(arr([0, 0, w, h])))).s.height == height
+@pytest.mark.parametrize(
+    ("quad", "width", "height"),
+    [
+        ([[3, 1], [53, 1], [53, 12], [3, 12]], 50, 11),
+        ([[0, 0], [8, 0], [8, 12], [0, 12]], 12, 8),  # 12 is 1.5 times 8: upright text
+        ([[0, 0], [9, 0], [9, 13], [0, 13]], 9, 13),
+        ([[0, 0], [30, 0], [36, 8], [0, 10]], math.hypot(36, 2), 10),  # the longer of opposite sides
+        ([[0, 0], [20, 0], [40, 0], [40, 7], [0, 7]], 40, 7),  # more corners: the least rectangle around them
+        ([[0, 5], [5, 0], [45, 40], [40, 45]], math.hypot(40, 40), math.hypot(5, 5)),
+        ([[2, 2], [14, 2], [8, 6]], 12, 4),
+    ],
+)
+def test_line_sizes(spark, quad, width, height):
+    found = one(spark, s=g.line_size(arr(quad))).s
+    assert np.allclose([found.width, found.height], [width, height])
+
+
+def test_canonical_quads(spark):
+    flat = [[0, 0], [10, 0], [10, 1e-9], [0, 1e-9]]
+    r = one(
+        spark,
+        box=g.quad_of(arr([1, 2, 4, 6])), inverted=g.quad_of(arr([4, 2, 1, 6])), empty=g.quad_of(arr([1, 2, 1, 6])), five=g.quad_of(arr([1, 2, 3, 4, 5])),
+        corners=g.quad_of(arr([0, 0, 2, 0, 2, 1, 0, 1])), flat=g.convex_clockwise(arr(flat)), back=g.convex_clockwise(arr([[0, 0], [0, 3], [5, 3], [5, 0]])),
+        dent=g.convex_clockwise(arr([[0, 0], [4, 0], [1, 1], [0, 4]])),
+    )
+    assert r.box == [[1, 2], [4, 2], [4, 6], [1, 6]] and r.corners == [[0, 0], [2, 0], [2, 1], [0, 1]]
+    assert r.inverted is None and r.empty is None and r.five is None and r.flat is None and r.dent is None
+    assert r.back == [[0, 0], [5, 0], [5, 3], [0, 3]]
+
+
+def test_crops_have_whole_pixels(spark):
+    r = one(spark, c=g.text_crops(arr([[10.3, 10.2, 30.7, 19.9], [31.2, 12.5, 44.4, 15.1]]), F.lit(200), F.lit(100), 12, 8, 0.05, 9))
+    # 20.4 x 9.7 with context: 22.44 and 10.67 go up to 23 x 11, its corner at floor(9.0), floor(9.55); it touches the second box and grows to 45
+    # the second goes up to 15 x 8, its corner at floor(30.3), floor(9.8), touches the first box and grows to 10 and 20
+    assert [list(c) for c in r.c] == [[9, 9, 45, 20], [10, 9, 45, 20]]
+
+
+def test_trust_and_sharpness(spark):
+    line = "struct<polygon:array<array<double>>,valid:boolean,aligned:boolean,teacher_correct:boolean>"
+    box = lambda x0, x1: [[x0, 0.0], [x1, 0.0], [x1, 2.0], [x0, 2.0]]
+    lines = [(box(0.0, 2.0), True, True, False), (box(2.0, 4.0), True, True, True), (box(3.0, 5.0), True, False, False), (box(4.0, 6.0), True, True, None)]
+    rows = spark.createDataFrame([(lines, [0.0] * 4 + [9.0] + [0.0] * 4, 3)], f"l array<{line}>, v array<double>, w int")
+    r = rows.select(g.trust_map(F.col("l"), 6, 2, 0.25).alias("t"), g.sharpness("v", "w").alias("s")).first()
+    assert list(r.t) == [0.25, 0.25, 1, 1, 1, 1] * 2
+    # mirrored edges: the four side pixels see the peak twice, the corners not at all
+    assert np.isclose(r.s.variance, np.var([0, 18, 0, 18, -36, 18, 0, 18, 0])) and np.isclose(r.s.deviation, np.std([0] * 8 + [9]))
 
 
 def test_quads_tiles_masks(spark):
@@ -184,7 +227,9 @@ def test_decisions(spark):
     assert decision(spark, good, audit=True).asDict(True) | {} == decision(spark, good, audit=True).asDict(True)
     assert (decision(spark, good, audit=True).status, decision(spark, good, audit=True).reasons) == ("review", ["audit_mode_uncalibrated"])
     poor = decision(spark, [("ABC", 0.5)], scores=(0.8, 0.3))
-    assert poor.status == "rejected" and poor.reasons == ["low_ocr_confidence", "glyph_unverifiable", "missing_iqa:clarity", "missing_iqa:artifacts"]
+    assert poor.status == "rejected" and poor.reasons == ["low_ocr_confidence", "low_iqa:artifacts"]  # later evidence counts, too
+    unseen = decision(spark, [("ABC", 0.5)], glyph=None, scores=(None, None))  # a flow that stops looking passes nulls
+    assert unseen.reasons == ["low_ocr_confidence", "glyph_unverifiable", "missing_iqa:clarity", "missing_iqa:artifacts"]
     assert decision(spark, good, scores=(0.8, 0.3)).reasons == ["low_iqa:artifacts"]
     assert decision(spark, []).reasons[0] == "no_text"
     missing = decision(spark, good, scores=(0.8, None))
@@ -256,26 +301,57 @@ def details(spark, rows):
 
 
 def test_paired_evaluation(spark):
-    truth = [("a", 0, "abcd", 23), ("a", 1, "abcde", 24), ("b", 0, "wxyz", 64)]
-    teacher = details(spark, [(*r, t) for r, t in zip(truth, ["abcd", "abcde", "wx"], strict=True)])
-    student = details(spark, [(*r, t) for r, t in zip(truth, ["abcd", "abcdx", "wxyz"], strict=True)])
-    out = {r.bin: r for r in evaluation.evaluate([student], [teacher], [24, 32, 64], samples=300, seed=3).collect()}
-    assert [out[b].instances for b in ("0-24", "24-32", "32-64", "64+", "all", "<64")] == [1, 1, 0, 1, 3, 2]
-    assert round(out["all"].student_cer, 9) == round(1 / 13, 9) and out["all"].retention == 0.5 and round(out["all"].student_accuracy, 9) == round(2 / 3, 9)
-    assert out["32-64"].student_cer is None and out["32-64"].status == "empty_bin" and out["0-24"].status == "insufficient_images:1<2" and out["all"].status == "paired_image_percentile"
-    with pytest.raises(ValueError, match="not all runs"):
-        align.aligned([student], [teacher.where("stem = 'a'")], ["stem", "index"])
-    assert align.aligned([student], [teacher.where("stem = 'a'")], ["stem", "index"], True).count() == 2
-    assert [(r.run, r.excluded) for r in align.exclusions([student, teacher.where("stem = 'a'")], ["stem", "index"]).collect()] == [(0, 1), (1, 0)]
+    """Four lines of two images. By hand: labels have 3, 6, 2 and 9 characters, 20 in all; the student errs by 2 in the second and by 9 in the last."""
+    truth = [("p", 0, "one", 15), ("p", 1, "twelve", 40), ("q", 0, "go", 41), ("q", 5, "thirtyone", 90)]
+    teacher = details(spark, [(*r, t) for r, t in zip(truth, ["one", "twelve", "no", "thirtyone"], strict=True)])
+    student = details(spark, [(*r, t) for r, t in zip(truth, ["one", "twe1v3", "go", ""], strict=True)])
+    out = {r.bin: r for r in evaluation.evaluate([student], [teacher], [16, 40, 50], samples=300, seed=3).collect()}
+    assert [out[b].instances for b in ("0-16", "16-40", "40-50", "50+", "all", "<64")] == [1, 0, 2, 1, 4, 3]
+    assert np.isclose(out["all"].student_cer, 11 / 20) and np.isclose(out["all"].teacher_cer, 1 / 20) and np.isclose(out["all"].cer_delta, 0.5)
+    assert out["all"].teacher_accuracy == 0.75 and out["all"].student_accuracy == 0.5 and np.isclose(out["all"].retention, 1 / 3)
+    assert np.isclose(out["<64"].student_cer, 2 / 11) and np.isclose(out["all"].student_one_minus_ned, 1 - (2 / 6 + 1) / 4)
+    assert out["16-40"].student_cer is None and out["16-40"].status == "empty_bin"
+    assert out["0-16"].status == "insufficient_images:1<2" and out["all"].status == "paired_image_percentile"
+    with pytest.raises(Exception, match="not all runs"):
+        align.aligned([student], [teacher.where("stem = 'p'")], ["stem", "index"]).collect()
+    assert align.aligned([student], [teacher.where("stem = 'p'")], ["stem", "index"], True).count() == 2
+    assert [(r.run, r.excluded) for r in align.exclusions([student, teacher.where("stem = 'p'")], ["stem", "index"]).collect()] == [(0, 2), (1, 0)]
     with pytest.raises(Exception, match="runs differ in size"):
         align.aligned([student], [teacher.withColumn("size", F.col("size") + 1)], ["stem", "index"]).collect()
+    with pytest.raises(Exception, match="duplicate stem, index"):
+        align.aligned([student.union(student)], [teacher], ["stem", "index"]).collect()
     with pytest.raises(ValueError, match="one teacher"):
         align.aligned([student], [teacher] * 2, ["stem", "index"])
-    missing = details(spark, [(*r, t) for r, t in zip(truth, ["abcd", None, "wxyz"], strict=True)])
-    out = {r.bin: r for r in evaluation.evaluate([missing], [teacher], [24], samples=0).collect()}
+    missing = details(spark, [(*r, t) for r, t in zip(truth, ["one", None, "go", "thirtyone"], strict=True)])
+    out = {r.bin: r for r in evaluation.evaluate([missing], [teacher], [40], samples=0).collect()}
     assert out["all"].student_one_minus_ned is None and out["all"].student_cer is not None and out["all"].status == "disabled"
 
 
+def test_intervals_of_all_metrics(spark):
+    rows = [("all" if k % 3 else "some", f"image{k % 12}", 10, k % 4, (k * 7) % 5, int(k % 4 == 0), int(k * 7 % 5 == 0), int(k % 4 == 0 and k * 7 % 5 == 0), k % 4 / 10, None if k == 5 else k * 7 % 5 / 10) for k in range(60)]
+    schema = "bin string, stem string, label_length int, teacher_edits int, student_edits int, teacher_correct int, student_correct int, joint_correct int, teacher_distance double, student_distance double"
+    frame = spark.createDataFrame(rows, schema)
+    got = {(r.bin, r.metric): r for r in metrics.bootstrap_metrics(frame, "bin", "stem", samples=200, seed=5).collect()}
+    assert {m for _, m in got} == set(metrics.METRICS) and {b for b, _ in got} == {"all", "some"}
+    plain = {r.bin: r for r in metrics.paired_metrics(metrics.paired_totals(frame, "bin")).collect()}
+    for (b, m), r in got.items():
+        assert r.estimate == plain[b][m] or np.isclose(r.estimate, plain[b][m])
+        assert r.estimate is None or (r.valid_samples > 100 and r.low <= r.high)
+    lost = got["all", "student_one_minus_ned"]  # one distance is missing there
+    assert (lost.estimate, lost.low, lost.valid_samples) == (None, None, 0)
+    few = metrics.bootstrap_metrics(frame, "bin", "stem", samples=200, least=99).first()
+    assert few.low is None and few.status.startswith("insufficient_images:")
+
+
+def test_percentiles_of_any_groups(spark):
+    rng = np.random.default_rng(3)
+    rows = [("a", float(x)) for x in rng.integers(0, 30, 401)] + [(None, float(x)) for x in rng.normal(size=57)] + [("one", 4.0), ("none", None)]
+    got = {r.g: list(r.percentiles) for r in metrics.percentiles(spark.createDataFrame(rows, "g string, x double").repartition(5), "x", [0.0, 0.025, 0.5, 0.975, 1.0], "g").collect()}
+    assert set(got) == {"a", None, "one"}
+    for g_, values in got.items():
+        assert np.allclose(values, np.quantile([x for k, x in rows if k == g_], [0.0, 0.025, 0.5, 0.975, 1.0]))
+
+
 def test_bootstrap_counts_clusters(spark):
     rng = np.random.default_rng(0)
     rows = [("g", f"c{k}", float(x), 1.0) for k in range(40) for x in rng.normal(2, 1, 5)]
@@ -452,7 +528,9 @@ def test_shards(spark, tmp_path):
             info.size = 3
             tar.addfile(info, io.BytesIO(b"abc"))
     (tmp_path / "t.tar").write_bytes(b"broken")
-    assert sorted((r.key, r.extension, bytes(r.content)) for r in readers.tar_samples(spark, str(tmp_path / "*.tar")).collect()) == [("x/1", "jpg", b"abc"), ("x/1", "json", b"abc")]
+    found = readers.tar_samples(spark, str(tmp_path / "*.tar")).collect()
+    assert sorted((r.key, r.extension, bytes(r.content)) for r in found if r.error is None) == [("x/1", "jpg", b"abc"), ("x/1", "json", b"abc")]
+    assert [r.shard[-5:] for r in found if r.error] == ["t.tar"]
     bad = spark.createDataFrame([("r", "v", "s")], "repo string, revision string, subset string")
     with pytest.raises(ValueError, match="known bad"):
         readers.refuse(bad, bad)
@@ -521,7 +599,7 @@ def test_incremental_curation(spark, tmp_path):
 
     run("a.json", [{"id": "1", "source": "s", "content": "x", "line_no": 1}, {"id": "2", "source": "s", "content": "x", "line_no": 2}, {"id": "3", "source": "s", "content": "y", "line_no": 3}])
     run("b.json", [{"id": "4", "source": "s", "content": "y", "line_no": 1}, {"id": "5", "source": "s", "content": "z", "line_no": 2}])
-    assert sorted(r.id for r in spark.read.parquet(str(tmp_path / "state")).collect()) == ["1", "3", "5"]
+    assert sorted((r.id, r.state) for r in spark.read.parquet(str(tmp_path / "state")).collect()) == [("1", "complete"), ("2", "duplicate"), ("3", "complete"), ("4", "duplicate"), ("5", "complete")]
 
 
 def test_event_windows(spark, small):
