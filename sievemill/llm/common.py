@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
+from weakref import WeakKeyDictionary
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -14,6 +17,7 @@ WORD = r"[^\x20\x09-\x0D]+"
 
 
 _CLAIMS: dict = {}
+_PATHS: WeakKeyDictionary = WeakKeyDictionary()
 
 
 def claim(name: str, clear) -> None:
@@ -28,23 +32,36 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir; a local one only where that is unset."""
+    """The folder that driver and executors share: spark.checkpoint.dir. Where it is unset, a local session gets a folder that goes with it, any other an error."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
         kept = spark.sparkContext._jsc.sc().getCheckpointDir()
         found = kept.get() if kept.isDefined() else None
     if not found:
-        found = f"file://{tempfile.mkdtemp(prefix='sievemill-')}"
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        folder = tempfile.mkdtemp(prefix="sievemill-")
+        atexit.register(shutil.rmtree, folder, ignore_errors=True)
+        found = f"file://{folder}"
         spark.sparkContext.setCheckpointDir(found)
     return found.rstrip("/")
 
 
 def stored(df: DataFrame, what: str = "table") -> DataFrame:
-    """``df`` written as Parquet in the shared folder and read again: cuts the lineage and survives lost executors."""
+    """``df`` written as Parquet in the shared folder and read again: cuts the lineage and survives lost executors. ``dropped`` deletes it."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{what}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    back = spark.read.schema(df.schema).parquet(path)
+    _PATHS[back] = path
+    return back
+
+
+def dropped(df: DataFrame) -> None:
+    """Deletes a table of ``stored`` that no result needs any more."""
+    context = df.sparkSession.sparkContext
+    path = context._jvm.org.apache.hadoop.fs.Path(_PATHS.pop(df))
+    path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def partitions(spark: SparkSession) -> int:
