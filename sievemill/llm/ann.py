@@ -11,14 +11,16 @@ queries, so neither a large part nor a popular one meets in one task.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import common
-from .vectors import CANDIDATES, QUERIES, best, clean, matrix, part, top
+from .vectors import CANDIDATES, QUERIES, best, clean, each_dimension, matrix, part, top
 
 #: Rows that the fit reads at most, parts, neighbours of a node, hidden units, and the recall asked for on the sample.
 SAMPLE, PARTS, NEIGHBOURS, HIDDEN, RECALL, K = 6144, 16, 16, 128, 0.97, 20
@@ -126,40 +128,23 @@ def fit(sample: np.ndarray, k: int = K, parts: int = PARTS, recall: float = RECA
     return router, int(needed[min(len(needed) - 1, int(np.ceil(recall * len(needed))) - 1)]) + 1
 
 
-def search(vectors: DataFrame, queries, k: int = K, sample: int = SAMPLE) -> DataFrame:
+def search(vectors: DataFrame, queries: Column, k: int = K, sample: int = SAMPLE) -> DataFrame:
     """The k nearest found of each row for which the condition ``queries`` holds: query_id, rank, vec_id, score (inner product).
 
-    See ``vectors.clean`` for rows that take no part. Rows with the query's own vec_id are no candidates of it; other rows with equal
-    ids or vectors are candidates of their own. Fewer candidates than k are all returned. An empty table gives an empty result.
+    See ``vectors.clean`` for rows that take no part; vectors of different dimensions have no product, so each dimension is searched
+    by itself. Rows with the query's own vec_id are no candidates of it; other rows with equal ids or vectors are candidates of
+    their own. Ties go to the smaller vec_id. Fewer candidates than k are all returned. An empty table gives an empty result. Other columns are not read.
     """
-    rows, d = clean(vectors, True)
-    if not d:
+    rows, dims = clean(vectors, True)
+    if not dims:
         return rows.select(F.col("vec_id").alias("query_id"), F.lit(1).alias("rank"), "vec_id", F.lit(0.0).alias("score"))
-    chosen = rows.orderBy(F.xxhash64("vec_id"), "vec_id", F.xxhash64("embedding")).limit(sample).toPandas()  # bounded
-    router, visits = fit(np.array(chosen["embedding"].tolist()), k)
-    held = rows.sparkSession.sparkContext.broadcast(router)
-
-    @F.pandas_udf("array<int>")
-    def route(x: pd.Series) -> pd.Series:
-        if held.value is None:
-            return pd.Series([[0]] * len(x))
-        return pd.Series(list(held.value.order(np.array(x.tolist()).reshape(-1, d))[:, :visits].astype(np.int32)))
-
-    index = common.stored(rows.withColumn("parts", route("embedding")), "index")
-    sizes = index.groupBy(F.col("parts")[0].alias("part")).agg(F.ceil(F.count(F.lit(1)) / CANDIDATES).alias("blocks"))  # a row a part
-    asked = index.where(queries)
-    n_queries = max(1, -(-asked.count() // QUERIES))
-    candidates = index.select(F.col("parts")[0].alias("part"), "vec_id", "embedding").join(F.broadcast(sizes), "part")
-    candidates = candidates.select("part", part("vec_id", F.col("blocks")).alias("block"), F.explode(F.sequence(F.lit(0), F.lit(n_queries - 1))).alias("q"), "vec_id", "embedding")
-    asks = asked.select(F.explode("parts").alias("part"), "vec_id", "embedding").join(F.broadcast(sizes), "part")
-    asks = asks.select("part", F.explode(F.sequence(F.lit(0), (F.col("blocks") - 1).cast("int"))).alias("block"), part("vec_id", n_queries).alias("q"), F.col("vec_id").alias("query_id"), F.col("embedding").alias("query"))
 
     def score(left: pa.Table, right: pa.Table) -> pa.Table:
         kind = pa.schema([("query_id", pa.int64()), ("vec_id", pa.int64()), ("score", pa.float64())])
         if not left.num_rows or not right.num_rows:
             return kind.empty_table()
-        c, ids = matrix(left["embedding"], d), left["vec_id"].to_numpy()
-        q, names = matrix(right["query"], d), right["query_id"].to_numpy()
+        c, ids = matrix(left["embedding"]), left["vec_id"].to_numpy()
+        q, names = matrix(right["query"]), right["query_id"].to_numpy()
         out = []
         for a in range(0, len(q), 128):
             products = q[a : a + 128] @ c.T
@@ -169,9 +154,33 @@ def search(vectors: DataFrame, queries, k: int = K, sample: int = SAMPLE) -> Dat
                 out.append((np.full(len(order), names[a + row]), ids[found][order], exact[order]))
         return pa.table([np.concatenate(x) for x in zip(*out, strict=True)], schema=kind)
 
+    kind = "query_id long, vec_id long, score double"
+    return best(each_dimension(rows, dims, queries, lambda some, d: _indexed(some, d, queries, k, sample, score, kind), score, kind), k, "double")
+
+
+def _indexed(rows: DataFrame, d: int, queries: Column, k: int, sample: int, score: Callable, kind: str) -> DataFrame:
+    """The best of each block that a query visits, by way of the learned parts."""
+    chosen = rows.orderBy(F.xxhash64("vec_id"), "vec_id", F.xxhash64("embedding")).limit(sample).toPandas()  # bounded
+    router, visits = fit(np.array(chosen["embedding"].tolist()), k)
+    held = rows.sparkSession.sparkContext.broadcast(router)
+
+    @F.pandas_udf("array<int>")
+    def route(x: pd.Series) -> pd.Series:
+        if held.value is None:
+            return pd.Series([[0]] * len(x))
+        return pd.Series(list(held.value.order(np.array(x.tolist()).reshape(-1, d))[:, :visits].astype(np.int32)))
+
+    index = common.stored(rows.withColumn("parts", route("embedding")), "index")
+    sizes = index.groupBy(F.col("parts")[0].alias("part")).agg(F.ceil(F.count(F.lit(1)) / CANDIDATES).alias("blocks"))  # a row a part
+    # a part's blocks meet only the query blocks of the part: its own number of them
+    asked = index.where(queries).select(F.explode("parts").alias("part"), F.col("vec_id").alias("query_id"), F.col("embedding").alias("query"))
+    sizes = sizes.join(asked.groupBy("part").agg(F.ceil(F.count(F.lit(1)) / QUERIES).alias("asks")), "part")
+    candidates = index.select(F.col("parts")[0].alias("part"), "vec_id", "embedding").join(F.broadcast(sizes), "part")
+    every = lambda n: F.explode(F.sequence(F.lit(0), (F.col(n) - 1).cast("int")))
+    candidates = candidates.select("part", part("vec_id", F.col("blocks")).alias("block"), every("asks").alias("q"), "vec_id", "embedding")
+    asks = asked.join(F.broadcast(sizes), "part").select("part", every("blocks").alias("block"), part("query_id", F.col("asks")).alias("q"), "query_id", "query")
     keys = ("part", "block", "q")
-    found = candidates.groupBy(*keys).cogroup(asks.groupBy(*keys)).applyInArrow(score, "query_id long, vec_id long, score double")
-    return best(found, k, "double")
+    return candidates.groupBy(*keys).cogroup(asks.groupBy(*keys)).applyInArrow(score, kind)
 
 
 def op4_learned_partitions(spark, sf_dir: str) -> DataFrame:
