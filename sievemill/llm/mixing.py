@@ -12,7 +12,7 @@ document's size of the target.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -40,24 +40,24 @@ def mix(documents: DataFrame, size: str, weights: tuple = WEIGHTS, share: float
 
     Null sources are a source of their own. Documents of equal size are in order of doc_id, then of the hash of all columns; rows
     that are wholly equal may change places, which gives the same table. A source without words has target 0 and no copies.
-    The same input gives the same copies, however it is dealt out.
+    The same input gives the same copies, however it is dealt out. Columns of ``documents`` that are named like the added ones give way to them.
     """
-    sizes = documents.groupBy("source").agg(F.sum(size).alias("source_size"))
-    aim = targets(sizes, weights, share, most)
-    names = documents.columns
-    placed = _within(documents, [-F.col(size), F.col("doc_id"), F.xxhash64(*names)])
+    names = [c for c in documents.columns if c not in ("source_size", "target", "copies")]
+    rows = documents.select("source", "doc_id", F.col(size).alias("size"), F.struct(*[F.col(c) for c in names]).alias("__row"))  # other columns can't clash
+    aim = targets(rows.groupBy("source").agg(F.sum("size").alias("source_size")), weights, share, most).withColumnRenamed("source", "__source")
+    placed = _within(rows, [-F.col("size"), F.col("doc_id"), F.xxhash64("__row")])
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
     named = F.coalesce(F.concat(F.lit(f"{seed}:"), F.col("source")), F.lit(str(seed)))
     offset = F.conv(F.substring(F.sha2(named, 256), 1, 13), 16, 10).cast("double") / F.lit(float(1 << 52))
-    joined = placed.join(aim.withColumnRenamed("source", "__source"), F.col("source").eqNullSafe(F.col("__source")))
+    joined = placed.join(aim, F.col("source").eqNullSafe(F.col("__source"))).withColumn("__rate", rate).withColumn("__offset", offset)
     copies = F.floor((F.col("__rank") + 1) * F.col("__rate") + F.col("__offset")) - F.floor(F.col("__rank") * F.col("__rate") + F.col("__offset"))
-    return joined.withColumn("__rate", rate).withColumn("__offset", offset).select(*names, "source_size", "target", copies.alias("copies"))
+    return joined.select("__row.*", "source_size", "target", copies.alias("copies"))
 
 
-def _within(documents: DataFrame, keys: list) -> DataFrame:
+def _within(rows: DataFrame, keys: list[Column]) -> DataFrame:
     """Adds ``__rank``, the rows of the same source before a row in the order of ``keys``."""
     source = F.struct(F.col("source").isNull().alias("no"), F.coalesce("source", F.lit("")).alias("name"))
-    rows = common.ordered(documents, [source, *keys], {}, "mixing")
+    rows = common.ordered(rows, [source, *keys], {}, "mixing")
     first = rows.groupBy("source").agg(F.min("row_no").alias("__first")).withColumnRenamed("source", "__of")
     return rows.join(first, F.col("source").eqNullSafe(F.col("__of"))).withColumn("__rank", F.col("row_no") - F.col("__first")).drop("__of", "__first", "row_no")
 
