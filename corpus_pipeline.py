@@ -14,19 +14,26 @@ from sievemill.llm import classify, common, mixing, neardup, packing
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality classifier, fitted on this stage's labelled documents, does not reject."""
+    """Documents that the quality classifier, fitted on this stage's labelled documents, does not reject.
+
+    Null and empty texts are scored as the empty text, the longest ones whole; equal texts share a score, repeated rows and null ids
+    are judged row by row. Without labels, as for an empty table, every score is 0.5 and no document is kept.
+    """
     scorer = classify.quality_scorer(docs, common.table(spark, sf_dir, "labels"))
     return docs.where(classify.scored(docs, scorer) >= classify.QUALITY_THRESHOLD)
 
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the toxicity classifier does not reject."""
+    """Documents that the toxicity classifier does not reject. Rows are judged as in ``quality``; without labels, or without toxic ones, all that score below 0.5 stay."""
     scorer = classify.toxic_scorer(docs, common.table(spark, sf_dir, "labels"))
     return docs.where(classify.scored(docs, scorer) < classify.TOXIC_THRESHOLD)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One row of each group of near-duplicates: one with the least doc_id, null coming last. Rows count one by one, whatever their ids."""
+    """One row of each group of near-duplicates: one with the least doc_id, null coming last. Rows count one by one, whatever their ids.
+
+    Repeated rows are copies of each other. Null and empty texts have no words, link with nothing, and all stay. Whole texts are compared, the longest ones, too.
+    """
     rows = common.stored(docs.withColumn("__row", F.monotonically_increasing_id()), "rows")
     groups = neardup.near_duplicates(rows.select(F.col("__row").alias("doc_id"), "text"), 5, 80).select(F.col("doc_id").alias("__row"), "component_id")
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "__row")).alias("first")
@@ -35,7 +42,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents as often as the mix takes them."""
+    """Documents as often as the mix takes them, at most twice. Null texts have size 0; rows with equal id, source and text share their copies evenly; a null source is a source."""
     names = docs.columns
     keyed = docs.withColumn("__h", F.xxhash64("text"))
     sizes = common.stored(keyed.select("doc_id", "source", "__h", common.n_words(F.col("text")).alias("__size")), "sizes")
@@ -50,7 +57,7 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of all documents in sequences of 1024 ids."""
+    """Pieces of all documents in sequences of 1024 ids. Null and empty texts are a piece of the end id, repeated rows and null ids are packed row by row."""
     import public_tokenizers
 
     return packing.pack_documents(docs, public_tokenizers.path("byte_bpe_50k.json"))
@@ -64,6 +71,8 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over ``documents``, each one's result written and read again."""
     docs = common.table(spark, sf_dir, "documents")
-    for name, stage in STAGES[:-1]:
-        docs = common.stored(stage(spark, docs, sf_dir), f"stage-{name}")
+    for k, (name, stage) in enumerate(STAGES[:-1]):
+        before, docs = docs, common.stored(stage(spark, docs, sf_dir), f"stage-{name}")
+        if k:
+            common.dropped(before)
     return STAGES[-1][1](spark, docs, sf_dir)
