@@ -10,8 +10,8 @@ the whole sequence where it has fewer. Documents with equal sets are one class,
    similarity shares a band but for a chance of ``MISS``.
 3. Verification in rounds. A round compares every member of a bucket with one pivot of it; verified links join
    components. A large group of near copies so takes a few comparisons a member, not all its pairs. What is then left, the
-   pairs of a bucket that no chain of links joins yet, is compared in blocks by the signatures: pairs whose share of equal
-   slots is not too low for the similarity (``least_equal``) are verified. Nothing is capped.
+   pairs of a bucket that no chain of links joins yet, is compared in blocks: pairs whose share of equal slots is not too low
+   for the similarity (``least_equal``) are verified there, so no row is made for a pair. Nothing is capped.
 4. Components by alternating large-star and small-star steps on tables in the shared folder.
 """
 
@@ -188,73 +188,117 @@ def _sets(documents: DataFrame, width: int) -> DataFrame:
     return documents.mapInArrow(run, "doc_id long, elements binary")
 
 
+def _alike(p: np.ndarray, q: np.ndarray, percent: int) -> bool:
+    """Whether 100 * intersection >= percent * union of two sets."""
+    both = np.concatenate([p, q])
+    both.sort(kind="stable")
+    common_ = int((both[1:] == both[:-1]).sum())
+    return 100 * common_ >= percent * (len(both) - common_)
+
+
 def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) of which 100 * intersection >= percent * union holds, counted on the full sets."""
+    """The pairs (a, b) whose full sets are alike."""
 
     def run(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for frame in frames:
-            keep = []
-            for x, y in zip(frame.column(2).to_pylist(), frame.column(3).to_pylist(), strict=True):
-                p, q = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
-                both = np.concatenate([p, q])
-                both.sort(kind="stable")
-                common_ = int((both[1:] == both[:-1]).sum())
-                keep.append(100 * common_ >= percent * (len(p) + len(q) - common_))
+            each = zip(frame.column(2).to_pylist(), frame.column(3).to_pylist(), strict=True)
+            keep = [_alike(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64), percent) for x, y in each]
             yield pa.RecordBatch.from_arrays([frame.column(0), frame.column(1)], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
     left, right = sets.select(F.col("doc_id").alias("a"), F.col("elements").alias("x")), sets.select(F.col("doc_id").alias("b"), F.col("elements").alias("y"))
     return pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
 
 
-def _similar(rows: DataFrame, percent: int) -> DataFrame:
-    """Pairs (a, b) of documents of a bucket and different groups whose signatures and sizes allow the similarity, each from the first band that they share.
-
-    ``rows``: key, band, doc_id, n_shingles, group, slots and bands, all band keys of the document. Members of a large bucket are dealt to blocks, and every two blocks meet once.
+def _grouped(frames: Iterator[pa.RecordBatch], n_keys: int) -> Iterator[pa.Table]:
+    """Tables of the rows with equal first ``n_keys`` columns, which come in a row, perhaps over several frames."""
+    held: pa.Table | None = None
+    for frame in frames:
+        table = pa.Table.from_batches([frame]) if held is None else pa.concat_tables([held, pa.Table.from_batches([frame])])
+        keys = np.stack([table.column(k).to_numpy() for k in range(n_keys)], 1)
+        edges = [0, *(np.flatnonzero((keys[1:] != keys[:-1]).any(1)) + 1).tolist()]
+        for a, b in zip(edges, edges[1:], strict=False):
+            yield table.slice(a, b - a)
+        held = table.slice(edges[-1])
+    if held is not None and held.num_rows:
+        yield held
+
+
+def _candidates(table: pa.Table, percent: int, n_bands: int, least: int) -> Iterator[tuple[int, np.ndarray]]:
+    """Of a bucket's block or two, each row and the later ones that may be alike: of another group, of a size and with a share of
+    equal slots that allow it, not sharing an earlier band, and, where there are two blocks, of the other one."""
+    ids, sizes, groups, blocks = (table.column(k).to_numpy() for k in ("doc_id", "n_shingles", "group", "block"))
+    band = int(table.column("band")[0].as_py())
+    slots = np.frombuffer(b"".join(table.column("slots").to_pylist()), np.uint8).reshape(-1, SLOTS)
+    bands = np.concatenate([x.flatten().to_numpy() for x in table.column("bands").chunks]).reshape(-1, n_bands)
+    apart = blocks.min() != blocks.max()
+    for k in range(len(ids) - 1):
+        rest = np.arange(k + 1, len(ids))
+        fits = 100 * np.minimum(sizes[rest], sizes[k]) >= percent * np.maximum(sizes[rest], sizes[k])
+        rest = rest[(groups[rest] != groups[k]) & fits & (ids[rest] != ids[k])]
+        if apart:
+            rest = rest[blocks[rest] != blocks[k]]
+        if len(rest):
+            good = (slots[rest] == slots[k]).sum(1) >= least
+            good &= ~(bands[rest, :band] == bands[k, :band]).any(1)
+            if good.any():
+                yield k, rest[good]
+
+
+def _links(table: pa.Table, pairs: Iterator[tuple[int, np.ndarray]], percent: int) -> list[tuple[int, int]]:
+    """Verified links among the candidates of a block; groups that a link has joined are one from then on."""
+    ids, groups = table.column("doc_id").to_numpy(), table.column("group").to_numpy().tolist()
+    sets = [np.frombuffer(x, np.uint64) for x in table.column("elements").to_pylist()]
+    up: dict[int, int] = {}
+
+    def root(g: int) -> int:
+        while (h := up.get(g, g)) != g:
+            up[g] = g = up.get(h, h)
+        return g
+
+    out = []
+    for k, others in pairs:
+        for at in others.tolist():
+            x, y = root(groups[k]), root(groups[at])
+            if x != y and _alike(sets[k], sets[at], percent):
+                up[x] = y
+                out.append((int(max(ids[k], ids[at])), int(min(ids[k], ids[at]))))
+    return out
+
+
+def _block_links(rows: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Links (a, b) that join documents of a bucket and different groups; between two groups of a block one is enough.
+
+    ``rows``: key, band, doc_id, n_shingles, group, slots and bands, all band keys of the document. Members of a large bucket are
+    dealt to blocks, and every two blocks meet once. First the signatures say which members have any candidate at all; these get their
+    sets, and the block compares them itself, each pair in the first band that it shares. So what moves is a row a member, never a row a pair.
     """
     n_bands, least = SLOTS // rows_of(percent / 100), least_equal(percent / 100)
-
-    def pairs_of(ids: np.ndarray, sizes: np.ndarray, groups: np.ndarray, slots: np.ndarray, bands: np.ndarray, blocks: np.ndarray, band: int) -> Iterator[tuple]:
-        apart = blocks.min() != blocks.max()
-        for k in range(len(ids) - 1):
-            rest = np.arange(k + 1, len(ids))
-            rest = rest[(groups[rest] != groups[k]) & (100 * np.minimum(sizes[rest], sizes[k]) >= percent * np.maximum(sizes[rest], sizes[k])) & (ids[rest] != ids[k])]
-            if apart:
-                rest = rest[blocks[rest] != blocks[k]]
-            if len(rest):
-                good = (slots[rest] == slots[k]).sum(1) >= least
-                good &= ~(bands[rest, :band] == bands[k, :band]).any(1)
-                for at in rest[good]:
-                    yield max(ids[k], ids[at]), min(ids[k], ids[at])
-
-    def run(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: pa.Table | None = None
-
-        def out(table: pa.Table) -> Iterator[pa.RecordBatch]:
-            keys = np.stack([table.column(k).to_numpy() for k in range(3)], 1)
-            edges = np.flatnonzero(np.append(True, (keys[1:] != keys[:-1]).any(1)))
-            ids, sizes, groups, blocks, band = (table.column(k).to_numpy() for k in ("doc_id", "n_shingles", "group", "block", "band"))
-            slots = np.frombuffer(b"".join(table.column("slots").to_pylist()), np.uint8).reshape(-1, SLOTS)
-            bands = np.concatenate([x.flatten().to_numpy() for x in table.column("bands").chunks]).reshape(-1, n_bands)
-            found = [p for a, b in zip(edges, [*edges[1:], len(keys)], strict=True) if b - a > 1 for p in pairs_of(ids[a:b], sizes[a:b], groups[a:b], slots[a:b], bands[a:b], blocks[a:b], int(band[a]))]
-            if found:
-                yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in found], pa.int64()), pa.array([y for _, y in found], pa.int64())], ["a", "b"])
-
-        for frame in frames:  # rows of a bucket come in a row; the last one of a frame may go on in the next
-            table = pa.Table.from_batches([frame]) if held is None else pa.concat_tables([held, pa.Table.from_batches([frame])])
-            last = [table.column(k)[-1].as_py() for k in range(3)]
-            keys = np.stack([table.column(k).to_numpy() for k in range(3)], 1)
-            cut = int(np.flatnonzero((keys == np.array(last)).all(1))[0])
-            if cut:
-                yield from out(table.slice(0, cut))
-            held = table.slice(cut)
-        if held is not None:
-            yield from out(held)
-
+    keys = ("key", "lo", "hi")
+
+    def some(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table in _grouped(frames, 3):
+            found = np.zeros(table.num_rows, bool)
+            for k, others in _candidates(table, percent, n_bands, least):
+                found[k] = found[others] = True
+            if found.any():
+                yield from table.filter(pa.array(found)).to_batches()
+
+    def compare(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table in _grouped(frames, 3):
+            links = _links(table, _candidates(table, percent, n_bands, least), percent)
+            if links:
+                yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in links], pa.int64()), pa.array([y for _, y in links], pa.int64())], ["a", "b"])
+
+    spark = rows.sparkSession
     sizes = rows.groupBy("key").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("n"))
     dealt = rows.join(sizes, "key").withColumn("block", F.pmod(F.xxhash64("doc_id"), F.col("n")).cast("int"))
-    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("n") - 1))).select("key", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"), "block", "band", "doc_id", "n_shingles", "group", "slots", "bands")
-    dealt = dealt.repartition(common.partitions(rows.sparkSession), "key", "lo", "hi").sortWithinPartitions("key", "lo", "hi")
-    return dealt.mapInArrow(run, "a long, b long")
+    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("n") - 1)))
+    lo, hi = F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi")
+    dealt = dealt.select("key", lo, hi, "block", "band", "doc_id", "n_shingles", "group", "slots", "bands")
+    met = lambda frame: frame.repartition(common.partitions(spark), *keys).sortWithinPartitions(*keys, "doc_id")
+    kind = "key long, lo int, hi int, block int, band int, doc_id long, n_shingles long, group long, slots binary, bands array<long>"
+    left = common.stored(met(dealt).mapInArrow(some, kind), "candidates")
+    return met(left.join(sets, "doc_id").select(*[c.split()[0] for c in kind.split(", ")], "elements")).mapInArrow(compare, "a long, b long")
 
 
 def _mark(edges: DataFrame) -> tuple:
@@ -275,7 +319,8 @@ def components(edges: DataFrame) -> DataFrame:
         large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct("u", F.col("m").alias("v")))).alias("e")).select("e.u", "e.v").where("u <> v").distinct()
-        edges = common.stored(small, "edges")
+        last, edges = edges, common.stored(small, "edges")
+        common.dropped(last)
     return edges.select(F.col("u").alias("node"), F.col("v").alias("component"))
 
 
@@ -284,7 +329,11 @@ def near_duplicates(documents: DataFrame, width: int = 5, percent: int = 80) ->
 
     Links join documents whose sets have 100 * intersection >= percent * union; component_id is the least doc_id that links
     reach. Null, empty and white texts have an empty set, no links, and are kept. Rows with equal doc_id are judged as
-    documents of their own and answer with that id; a null doc_id gets no links and is kept. Other columns are not read.
+    documents of their own and answer with that id; a null doc_id gets no links and is kept. Whole texts are compared, the longest
+    ones, too. An empty table gives an empty result. Other columns are not read.
+
+    A link of two documents at exactly the similarity is missed with a chance of ``MISS`` where they share no band, and with another
+    of at most ``MISS`` where only their signatures are compared; one of more similar documents is missed much more rarely.
     """
     made = common.stored(sketches(documents, width, percent / 100), "sketches")
     some = made.where("n_shingles > 0 AND doc_id IS NOT NULL")
@@ -308,13 +357,13 @@ def near_duplicates(documents: DataFrame, width: int = 5, percent: int = 80) ->
             by = F.xxhash64("doc_id", F.lit(turn)) if not turn else F.xxhash64("doc_id", "key", F.lit(turn))
             pivot = now.groupBy("key").agg(F.min_by(F.struct("doc_id", "n_shingles", "group"), F.struct(by, "doc_id")).alias("p")).select("key", F.col("p.doc_id").alias("other"), F.col("p.n_shingles").alias("m_shingles"), F.col("p.group").alias("other_group"))
             pairs = now.join(pivot, "key").where((F.col("group") != F.col("other_group")) & fits).select(F.greatest("doc_id", "other").alias("a"), F.least("doc_id", "other").alias("b")).distinct()
+            if done is not None:
+                pairs = pairs.join(done, ["a", "b"], "left_anti")
+            pairs = common.stored(pairs, "pairs")
+            found = common.stored(_verified(pairs, sets, percent), "links")
+            done = pairs if done is None else done.union(pairs)
         else:  # all that is left
-            pairs = _similar(now.join(reps.select("doc_id", "slots", "bands"), "doc_id"), percent)
-        if done is not None:
-            pairs = pairs.join(done, ["a", "b"], "left_anti")
-        pairs = common.stored(pairs, "pairs")
-        found = common.stored(_verified(pairs, sets, percent), "links")
-        done = pairs if done is None else done.union(pairs)
+            found = common.stored(_block_links(now.join(reps.select("doc_id", "slots", "bands"), "doc_id"), sets, percent), "links")
         if not turn or not found.isEmpty():
             links = found if links is None else links.union(found)
             groups = components(links if groups is None else groups.select(F.col("node").alias("a"), F.col("component").alias("b")).union(found))

@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from sievemill.llm import ann, common, mixing, neardup, sharding, topk, vectors
+from sievemill.llm import ann, common, mixing, sharding, topk, vectors
 
 
 def plain(rows, every, k, product):
@@ -97,11 +97,3 @@ def test_the_shared_folder_is_asked_for(monkeypatch, spark):
     assert os.path.isdir(path)
     common.dropped(held)
     assert not os.path.exists(path)
-
-
-def test_the_signature_filter_passes_over_next_to_nothing():
-    """At the similarity asked for, and the variance of plain MinHash, a pair has fewer equal slots than are asked for with a chance below 1e-9."""
-    for similarity in (0.8, 0.85):
-        least = neardup.least_equal(similarity)
-        tail = sum(math.comb(neardup.SLOTS, k) * similarity**k * (1 - similarity) ** (neardup.SLOTS - k) for k in range(least))
-        assert tail <= neardup.PASSED_OVER < neardup.MISS
