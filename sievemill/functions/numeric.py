@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..session import written
+
 
 def dot(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
@@ -84,8 +86,10 @@ def protected_top(groups: DataFrame, retain: int, protect: int, a: str, b: str,
 def price_for_budget(options: DataFrame, item: str, cost: str, loss: str, budget: float, rounds: int = 60) -> tuple[float, DataFrame]:
     """The least price at which each item's option of least loss + price * cost keeps to the budget, and those options.
 
-    Bisection on the driver; each probe is one aggregate with a partial step, and only its total comes back (G19).
+    Bisection on the driver; each probe is one aggregate with a partial step, and only its total comes back (G19). The options are
+    written once, three columns of them, and each probe reads that table.
     """
+    options = written(options.select(item, cost, loss), "options")
 
     def choice(price: float) -> DataFrame:
         value = F.col(loss) + F.lit(price) * F.col(cost)

@@ -26,18 +26,20 @@ def quotas(n: int, groups: int) -> list[int]:
 def sample_per_group(rows: DataFrame, group: str, key: str, n: int, seed: int, strict: bool = True) -> DataFrame:
     """A uniform sample without replacement of ``n`` rows in all, shared evenly by groups in their order.
 
-    ``strict``: fails where a group has fewer rows than its share. Groups are few; their rows never meet but within the window's limit.
+    ``strict``: fails where a group has fewer rows than its share. Groups are numbered in a table of their own, a row a group, and
+    no group's rows meet but within the window's limit.
     """
-    sizes = rows.groupBy(group).count().orderBy(group).collect()  # a row a group
-    share = quotas(n, len(sizes)) if sizes else []
-    short = [r[group] for r, q in zip(sizes, share, strict=True) if r["count"] < q]
-    if strict and short:
+    everything = W.partitionBy()
+    place = F.row_number().over(W.orderBy(group)) - 1
+    sizes = rows.groupBy(group).agg(F.count(F.lit(1)).alias("__n")).withColumn("__k", place).withColumn("__m", F.count(F.lit(1)).over(everything))
+    share = F.floor(F.lit(n) / F.col("__m")) + (F.col("__k") < F.lit(n) % F.col("__m")).cast("int")
+    sizes = sizes.select(F.col(group).alias("__g"), "__n", share.alias("__share"))
+    short = [r["__g"] for r in sizes.where("__n < __share").limit(5).collect()] if strict else []
+    if short:
         raise ValueError(f"fewer rows than the share of {group} {short}")
     order = W.partitionBy(group).orderBy(luck(seed, F.col(group), F.col(key)), key)
-    most = max(share, default=0)
-    ranked = rows.withColumn("__r", F.row_number().over(order)).where(F.col("__r") <= most)
-    allowed = F.create_map(*[F.lit(x) for r, q in zip(sizes, share, strict=True) for x in (r[group], q)]) if sizes else None
-    return (ranked.where(F.col("__r") <= allowed[F.col(group)]) if sizes else ranked).drop("__r")
+    ranked = rows.withColumn("__r", F.row_number().over(order)).where(F.col("__r") <= n)
+    return ranked.join(sizes, F.col(group).eqNullSafe(F.col("__g"))).where("__r <= __share").drop("__r", "__g", "__n", "__share")
 
 
 def sample_rows(rows: DataFrame, key: str, n: int, seed: int) -> DataFrame:
@@ -110,7 +112,7 @@ def numbered(rows: DataFrame, shard: str, order: str) -> DataFrame:
     counts = rows.groupBy(F.col(shard).alias("__s")).agg(F.count(F.lit(1)).alias("__n"))
     base = counts.select("__s", F.coalesce(F.sum("__n").over(W.orderBy("__s").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("__b"))  # a row a shard
     local = rows.withColumn("__r", F.row_number().over(W.partitionBy(shard).orderBy(order)) - 1)
-    return local.join(F.broadcast(base), F.col(shard) == F.col("__s")).withColumn("row_no", (F.col("__b") + F.col("__r")).cast("long")).drop("__s", "__b", "__r")
+    return local.join(base, F.col(shard) == F.col("__s")).withColumn("row_no", (F.col("__b") + F.col("__r")).cast("long")).drop("__s", "__b", "__r")
 
 
 def degradation(rows: DataFrame, key: str, seed: int, variants: int, scales: list[float], blur: tuple[float, float], noise: tuple[float, float], jpeg: tuple[int, int]) -> DataFrame:

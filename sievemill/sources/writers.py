@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -55,18 +56,23 @@ def replace_table(rows: DataFrame, path: str, version: int) -> str:
 def packed_shards(items: DataFrame, size: str, order: str, limit: int) -> DataFrame:
     """Adds ``shard``: items in order fill shards below ``limit``; one larger than that has a shard to itself.
 
-    The fill depends on all before, so items of one list are folded in one row; lists are keyed by ``list`` and bounded.
+    What a shard holds depends on all before, so a list is filled in one task, which holds its keys and sizes and goes over them
+    once; lists (``list``) are filled side by side.
     """
-    rows = items.groupBy("list").agg(F.array_sort(F.collect_list(F.struct(F.col(order).alias("__o"), F.col(size).cast("long").alias("__s")))).alias("x"))
-    start = F.struct(F.lit(0).alias("shard"), F.lit(0).cast("long").alias("used"), F.array().cast("array<int>").alias("out"))
-
-    def step(state, x):
-        full = (state["used"] > 0) & (state["used"] + x["__s"] > limit)
-        shard = F.when(full, state["shard"] + 1).otherwise(state["shard"])
-        return F.struct(shard.alias("shard"), F.when(full, x["__s"]).otherwise(state["used"] + x["__s"]).alias("used"), F.concat(state["out"], F.array(shard)).alias("out"))
-
-    folded = rows.select("list", "x", F.aggregate("x", start, step, lambda s: s["out"]).alias("n"))
-    return folded.select("list", F.explode(F.arrays_zip("x", "n")).alias("e")).select("list", F.col("e.x.__o").alias(order), F.col("e.x.__s").alias(size), F.col("e.n").alias("shard"))
+    rows = items.select("list", order, F.col(size).cast("long").alias(size))
+    kinds = {f.name: f.dataType.simpleString() for f in rows.schema.fields}
+
+    def fill(group: pa.Table) -> pa.Table:
+        group = group.sort_by(order)
+        shards, shard, used = [], 0, 0
+        for n in group[size].to_pylist():
+            if used and used + n > limit:
+                shard, used = shard + 1, 0
+            used += n
+            shards.append(shard)
+        return group.append_column("shard", pa.array(shards, pa.int32()))
+
+    return rows.groupBy("list").applyInArrow(fill, f"list {kinds['list']}, `{order}` {kinds[order]}, `{size}` bigint, shard int")
 
 
 def newest_valid(checkpoints: DataFrame) -> DataFrame:
