@@ -562,6 +562,27 @@ def resolved_paths(spark, folder):
     return table(spark, folder, "documents").select("doc_id", control.resolved(path, "base/").alias("path"))
 
 
+@query("""SELECT event_id, CASE WHEN event_id % 2 = 0 THEN event_id * 2 END AS doubled, CASE WHEN event_id % 2 = 1 THEN 'ValueError: odd' END AS error FROM events WHERE event_id < 1000""")
+def guarded_rows(spark, folder):
+    def double(x):
+        if x % 2:
+            raise ValueError("odd")
+        return x * 2
+
+    return control.guarded(table(spark, folder, "events").where("event_id < 1000").select("event_id"), "event_id", double, "bigint", "doubled")
+
+
+@query("""SELECT p_partkey, (p_size * 2.0 + 5)::DOUBLE AS x0, p_size::DOUBLE AS back FROM part""")
+def moved_regions(spark, folder):
+    s = F.col("p_size").cast("double")
+    region = F.struct(geometry.box_polygon(F.array(s, F.lit(1.0), s + 9, F.lit(4.0))).alias("polygon"), F.lit(None).cast("array<double>").alias("bbox"), F.lit("t").alias("text"))
+    m = F.array(*[F.array(*[F.lit(float(x)) for x in row]) for row in ((2, 0, 5), (0, 2, 1), (0, 0, 1))])
+    there = geometry.moved_regions(F.array(region), m)
+    rows = _part(spark, folder).select("p_partkey", there.alias("r"))
+    back = geometry.moved_regions(F.col("r"), geometry.inverse(m))
+    return rows.select("p_partkey", F.col("r")[0]["bbox"][0].alias("x0"), F.round(back[0]["bbox"][0], 9).alias("back"))
+
+
 @query("""SELECT coalesce(CASE WHEN p_size % 3 = 0 THEN 'smaller_than_input' WHEN p_size % 3 = 1 THEN 'aspect_ratio_changed' END, 'none') AS error, count(*) AS n FROM part GROUP BY error""")
 def size_checks(spark, folder):
     s = F.col("p_size")

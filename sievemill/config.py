@@ -87,6 +87,46 @@ def single_writer(folder: Path) -> Iterator[None]:
         at.unlink()
 
 
+def _file_system(spark, path: str):
+    """A Hadoop path and its file system: what all drivers of a cluster see."""
+    context = spark.sparkContext
+    at = context._jvm.org.apache.hadoop.fs.Path(path)
+    return at, at.getFileSystem(context._jsc.hadoopConfiguration())
+
+
+def check_shared_run(spark, folder: str, config: dict, inputs: str) -> None:
+    """``check_run`` in a folder of any file system that Spark reaches: of two drivers that begin at once, only one writes the identity, and the other compares."""
+    mine = json.dumps({"schema_version": 1, "config": config_hash(config), "inputs": inputs}, sort_keys=True)
+    at, files = _file_system(spark, f"{folder.rstrip('/')}/run.json")
+    try:
+        stream = files.create(at, False)
+    except Exception as e:
+        if not files.exists(at):
+            raise RuntimeError(f"{folder} can't be written to") from e
+        found = "\n".join(r["value"] for r in spark.read.text(at.toString()).collect())  # one line
+        if found != mine:
+            raise ValueError(f"{folder} belongs to a run of another configuration or input") from None
+        return
+    stream.write(mine.encode())
+    stream.close()
+
+
+@contextlib.contextmanager
+def single_shared_writer(spark, folder: str) -> Iterator[None]:
+    """``single_writer`` on any file system whose creation of a file is exclusive."""
+    at, files = _file_system(spark, f"{folder.rstrip('/')}/lock")
+    try:
+        created = files.createNewFile(at)
+    except Exception as e:
+        raise RuntimeError(f"{folder} can't be written to") from e
+    if not created:
+        raise RuntimeError(f"{folder} is being written to")
+    try:
+        yield
+    finally:
+        files.delete(at, False)
+
+
 def new_folder(parent: Path, name: str | None = None) -> Path:
     """A folder that wasn't there: by time or name, with -1, -2 and so on after it where that is taken."""
     name = name or time.strftime("%Y%m%d-%H%M%S")

@@ -58,6 +58,11 @@ def transformed(polygon: Column, m: Column) -> Column:
     return _once(m, lambda n: F.transform(polygon, lambda p: F.array(row(n, 0, p) / row(n, 2, p), row(n, 1, p) / row(n, 2, p))))
 
 
+def moved_regions(items: Column, m: Column) -> Column:
+    """Regions (structs with polygon and bbox among others) through a map, their boxes drawn anew (G1); with the ``inverse`` of the map, back again."""
+    return F.transform(items, lambda r: _once(transformed(r["polygon"], m), lambda p: r.withField("polygon", p).withField("bbox", bounds(p))))
+
+
 def scale_matrix(sx: Column, sy: Column) -> Column:
     zero, one = F.lit(0.0), F.lit(1.0)
     return F.array(F.array(sx, zero, zero), F.array(zero, sy, zero), F.array(zero, zero, one))

@@ -65,3 +65,20 @@ def config_hash(config: dict) -> str:
 def crop_key(seed: int, epoch: Column, index: Column) -> Column:
     """A seed for draws of one sample, independent of workers."""
     return seed64(F.lit(str(seed)), epoch.cast("string"), index.cast("string"))
+
+
+def code_hash(folder: str, packages: tuple[str, ...] = ()) -> str:
+    """Digest of all source files below a folder, by their names in it, and of the versions of packages: what a run's results depend on beside its configuration (H6)."""
+    import hashlib
+    from importlib.metadata import PackageNotFoundError, version
+    from pathlib import Path
+
+    out = hashlib.sha256()
+    for file in sorted(Path(folder).rglob("*.py")):
+        out.update(f"{file.relative_to(folder).as_posix()}\n{hashlib.sha256(file.read_bytes()).hexdigest()}\n".encode())
+    for name in sorted(packages):
+        try:
+            out.update(f"{name}=={version(name)}\n".encode())
+        except PackageNotFoundError:
+            out.update(f"{name} is absent\n".encode())
+    return out.hexdigest()

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -20,6 +23,26 @@ def require_unique(rows: DataFrame, *keys: str) -> DataFrame:
     return rows
 
 
+def guarded(rows: DataFrame, column: str, of: Callable, kind: str, value: str = "value") -> DataFrame:
+    """Adds ``value`` (of the type ``kind``), what ``of`` makes of a column's value, and ``error``: an exception is an error of its row, not of the run (C4).
+
+    Null values are given to ``of``, too. Rows come in Arrow batches; ``of`` is called for each value.
+    """
+
+    @F.pandas_udf(f"struct<value:{kind},error:string>")
+    def run(values: pd.Series) -> pd.DataFrame:
+        out = []
+        for v in values:
+            try:
+                out.append((of(v), None))
+            except Exception as e:  # noqa: BLE001  whatever it is, it belongs to the row
+                out.append((None, f"{type(e).__name__}: {e}"))
+        frame = pd.DataFrame({"value": pd.Series([v for v, _ in out], dtype=object), "error": [e for _, e in out]})
+        return frame
+
+    return rows.withColumn("__g", run(column)).select("*", F.col("__g.value").alias(value), F.col("__g.error").alias("error")).drop("__g")
+
+
 def first_wins(rows: DataFrame, digest: str, order: str, key: str, able: Column | None = None) -> DataFrame:
     """Adds ``duplicate_of``: the key of the first row in ``order`` with the same digest among the able ones, null for that row itself.
 
