@@ -2,16 +2,14 @@
 
 from __future__ import annotations
 
-import atexit
-import shutil
-import tempfile
-import uuid
 from weakref import WeakKeyDictionary
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from ..session import scratch, table  # noqa: F401  the operators take table from here
+
 #: A word: a run of anything but the six ASCII white-space characters (fixed value).
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -27,30 +25,10 @@ def claim(name: str, clear) -> None:
     _CLAIMS[name] = clear
 
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir. Where it is unset, a local session gets a folder that goes with it, any other an error."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        kept = spark.sparkContext._jsc.sc().getCheckpointDir()
-        found = kept.get() if kept.isDefined() else None
-    if not found:
-        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
-            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        folder = tempfile.mkdtemp(prefix="sievemill-")
-        atexit.register(shutil.rmtree, folder, ignore_errors=True)
-        found = f"file://{folder}"
-        spark.sparkContext.setCheckpointDir(found)
-    return found.rstrip("/")
-
-
 def stored(df: DataFrame, what: str = "table") -> DataFrame:
     """``df`` written as Parquet in the shared folder and read again: cuts the lineage and survives lost executors. ``dropped`` deletes it."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{what}-{uuid.uuid4().hex}"
+    path = scratch(spark, what)
     df.write.parquet(path)
     back = spark.read.schema(df.schema).parquet(path)
     _PATHS[back] = path

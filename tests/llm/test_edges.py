@@ -8,6 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from sievemill import session
 from sievemill.llm import ann, common, mixing, sharding, topk, vectors
 
 
@@ -88,7 +89,7 @@ def test_whole_groups_are_a_choice(spark):
 def test_the_shared_folder_is_asked_for(monkeypatch, spark):
     asked = SimpleNamespace(conf=SimpleNamespace(get=lambda *_: None), sparkContext=SimpleNamespace(master="spark://host:7077", _jsc=SimpleNamespace(sc=lambda: SimpleNamespace(getCheckpointDir=lambda: SimpleNamespace(isDefined=lambda: False)))))
     with pytest.raises(ValueError, match="checkpoint"):
-        common.shared_dir(asked)
+        session.shared_folder(asked)
     held = common.stored(spark.range(5).toDF("x"), "test")
     assert held.count() == 5
     path = common._PATHS[held].removeprefix("file://").removeprefix("file:")
