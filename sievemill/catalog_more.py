@@ -634,6 +634,51 @@ def incremental_batches(spark, folder):
     return spark.read.schema(incremental.STATE).parquet(state).groupBy("batch", "state").agg(F.count(F.lit(1)).alias("n"))
 
 
+@query("""SELECT date_trunc('hour', ts) AS start, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY ALL""")
+def event_windows(spark, folder):
+    """The windows of a stream over the events' file, once all of it has come."""
+    schema, out, check = table(spark, folder, "events").schema, scratch(spark, "windows"), scratch(spark, "check")
+    events = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(folder).withColumn("ts", F.col("ts").cast("timestamp"))
+    sink = incremental.metric_windows(events).writeStream.outputMode("complete").option("checkpointLocation", check).trigger(availableNow=True)
+    sink.foreachBatch(lambda batch, _: batch.write.mode("overwrite").parquet(out)).start().awaitTermination()
+    return spark.read.parquet(out).select(F.col("start").cast("timestamp_ntz").alias("start"), "event_type", "n", F.round("total", 4).alias("total"))
+
+
+@query("""SELECT doc_id, quality, toxic FROM documents LEFT JOIN (SELECT doc_id, max(quality) AS quality, max(toxic) AS toxic FROM labels GROUP BY doc_id) USING (doc_id)""")
+def sidecar_results(spark, folder):
+    """A precomputed back-end's results by key; documents without stay, with nulls."""
+    side = table(spark, folder, "labels").groupBy("doc_id").agg(F.max("quality").alias("quality"), F.max("toxic").alias("toxic"))
+    return curation.with_sidecar(table(spark, folder, "documents").select("doc_id"), side, "doc_id", ["quality", "toxic"])
+
+
+@query("""SELECT 'review' AS status, 'demo_backend' AS reasons, false AS eligible_for_training""")
+def demo_run(spark, folder):
+    settings = curation.Curation(rules=(gates.Rule("sharpness", 0.5),), demo=True)
+    found = curation.crops(curation.demo_record(spark), settings)
+    return found.select("status", F.array_join("reasons", ",").alias("reasons"), "eligible_for_training")
+
+
+@query("""SELECT count(*) AS n, count(DISTINCT source) AS sources FROM documents""")
+def unique_records(spark, folder):
+    docs = table(spark, folder, "documents").select(F.col("doc_id").cast("string").alias("id"), "source")
+    return curation.unique_ids(docs).agg(F.count(F.lit(1)).alias("n"), F.count_distinct("source").alias("sources"))
+
+
+@query("""SELECT 'p' || p_partkey AS stem, 'hr/p' || p_partkey || '.png' AS hr_path FROM part WHERE p_size % 2 = 0""")
+def mirrored_files(spark, folder):
+    stem = F.concat(F.lit("p"), "p_partkey").alias("stem")
+    high = _part(spark, folder).select(stem, F.concat(F.lit("hr/p"), "p_partkey", F.lit(".png")).alias("path"))
+    return readers.mirrored(_part(spark, folder).where("p_size % 2 = 0").select(stem), high, "stem")
+
+
+@query("""SELECT p_partkey, p_size::DOUBLE AS shift, 2.0::DOUBLE AS scale, 0.0::DOUBLE AS bend FROM part""")
+def rectifications(spark, folder):
+    s = F.col("p_size").cast("double")
+    h = geometry.homography(geometry.box_polygon(F.array(s, F.lit(3.0), s + 20, F.lit(11.0))), F.lit(10), F.lit(4))
+    rows = _part(spark, folder).select("p_partkey", h.alias("h"))
+    return rows.select("p_partkey", *[F.round(F.col("h")[r][c], 6).alias(n) for n, r, c in (("shift", 0, 2), ("scale", 0, 0))], F.abs(F.round(F.col("h")[2][0], 6)).alias("bend"))
+
+
 # -- the whole curation flow --------------------------------------------------------------------------------------------
 
 

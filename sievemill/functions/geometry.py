@@ -23,7 +23,7 @@ def finite(x: Column) -> Column:
     return x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(float("inf")))
 
 
-def _once(value: Column, of) -> Column:
+def once(value: Column, of) -> Column:
     """``of(value)`` with the value computed once a row, however often ``of`` uses it: a lambda binds it, where a plain expression would be repeated."""
     return F.get(F.transform(F.array(value), of), F.lit(0))
 
@@ -55,12 +55,12 @@ def snapped(polygon: Column, width: Column, height: Column) -> Column:
 def transformed(polygon: Column, m: Column) -> Column:
     """Points through an affine map or homography (G1)."""
     row = lambda n, k, p: n[k][0] * p[0] + n[k][1] * p[1] + n[k][2]
-    return _once(m, lambda n: F.transform(polygon, lambda p: F.array(row(n, 0, p) / row(n, 2, p), row(n, 1, p) / row(n, 2, p))))
+    return once(m, lambda n: F.transform(polygon, lambda p: F.array(row(n, 0, p) / row(n, 2, p), row(n, 1, p) / row(n, 2, p))))
 
 
 def moved_regions(items: Column, m: Column) -> Column:
     """Regions (structs with polygon and bbox among others) through a map, their boxes drawn anew (G1); with the ``inverse`` of the map, back again."""
-    return F.transform(items, lambda r: _once(transformed(r["polygon"], m), lambda p: r.withField("polygon", p).withField("bbox", bounds(p))))
+    return F.transform(items, lambda r: once(transformed(r["polygon"], m), lambda p: r.withField("polygon", p).withField("bbox", bounds(p))))
 
 
 def scale_matrix(sx: Column, sy: Column) -> Column:
@@ -75,15 +75,15 @@ def inverse(m: Column) -> Column:
         e = lambda a, b: n[a % 3][b % 3]
         cofactor = lambda r, c: e(r + 1, c + 1) * e(r + 2, c + 2) - e(r + 1, c + 2) * e(r + 2, c + 1)
         det = sum((e(0, c) * cofactor(0, c) for c in range(1, 3)), e(0, 0) * cofactor(0, 0))
-        return _once(det, lambda d: F.when(d != 0, F.array(*[F.array(*[cofactor(c, r) / d for c in range(3)]) for r in range(3)])))
+        return once(det, lambda d: F.when(d != 0, F.array(*[F.array(*[cofactor(c, r) / d for c in range(3)]) for r in range(3)])))
 
-    return _once(m, of)
+    return once(m, of)
 
 
 def composed(a: Column, b: Column) -> Column:
     """The map that does b, then a."""
     cell = lambda x, y, r, c: x[r][0] * y[0][c] + x[r][1] * y[1][c] + x[r][2] * y[2][c]
-    return _once(a, lambda x: _once(b, lambda y: F.array(*[F.array(*[cell(x, y, r, c) for c in range(3)]) for r in range(3)])))
+    return once(a, lambda x: once(b, lambda y: F.array(*[F.array(*[cell(x, y, r, c) for c in range(3)]) for r in range(3)])))
 
 
 def long_edge_size(width: Column, height: Column, edge: int) -> Column:
@@ -108,8 +108,7 @@ def area(box: Column) -> Column:
 def iou(a: Column, b: Column) -> Column:
     """Intersection over union; 0 where the union is empty."""
     inter = F.greatest(F.least(a[2], b[2]) - F.greatest(a[0], b[0]), F.lit(0.0)) * F.greatest(F.least(a[3], b[3]) - F.greatest(a[1], b[1]), F.lit(0.0))
-    union = area(a) + area(b) - inter
-    return F.when(union > 0, inter / union).otherwise(0.0)
+    return F.coalesce(F.try_divide(inter, area(a) + area(b) - inter), F.lit(0.0))
 
 
 def complete_regions(boxes: Column, crop: Column) -> Column:
@@ -136,7 +135,7 @@ def line_size(polygon: Column) -> Column:
 
     turned = lambda s: s[1] >= 1.5 * s[0]
     size = lambda s: F.struct(F.when(turned(s), s[1]).otherwise(s[0]).alias("width"), F.when(turned(s), s[0]).otherwise(s[1]).alias("height"))
-    return _once(quad, lambda q: _once(sides(q), size))
+    return once(quad, lambda q: once(sides(q), size))
 
 
 def rectangle_around(points: np.ndarray) -> np.ndarray:
@@ -197,9 +196,9 @@ def convex_clockwise(quad: Column) -> Column:
         turned = F.array(q[0], q[3], q[2], q[1])
         bad = (F.size(q) != 4) | ~F.forall(q, lambda p: finite(p[0]) & finite(p[1])) | (F.abs(signed_area(q)) < LEAST_AREA)
         way = lambda t: F.when(F.forall(t, lambda x: x > LEAST_TURN), q).when(F.forall(t, lambda x: x < -LEAST_TURN), turned)
-        return F.when(bad, None).otherwise(_once(F.array(*[turn(q, k) for k in range(4)]), way))
+        return F.when(bad, None).otherwise(once(F.array(*[turn(q, k) for k in range(4)]), way))
 
-    return _once(quad, of)
+    return once(quad, of)
 
 
 def rescaled(polygon: Column, sx: Column, sy: Column) -> Column:

@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.geometry import finite
@@ -105,21 +105,23 @@ def same_text(a: Column, b: Column) -> Column:
     return collapsed(a).eqNullSafe(collapsed(b))
 
 
-def reference_check(predictions: Column, trusted: Column, original: Column, least_overlap: float, least_original: float) -> Column:
-    """struct(status, conflicts, unmatched, missing): predictions held against ``reference_set`` by greedy overlap.
+def reference_checked(rows: DataFrame, predictions: str, trusted: str, original: str, least_overlap: float, least_original: float) -> DataFrame:
+    """Adds ``reference``, struct(status, conflicts, unmatched, missing): predictions held against ``reference_set`` by greedy overlap.
 
-    Each prediction in turn takes the unused reference that it overlaps most, if enough; the texts have to be the same. Arrays of
-    struct(bbox, text, ...); null counts as empty. All within the row: no join.
+    Each prediction in turn takes the unused reference that it overlaps most, if enough; the texts have to be the same. Columns of
+    arrays of struct(bbox, text, ...); null counts as empty. All within the row, no join; each step is a column, so none is computed twice.
     """
-    empty = lambda c: F.coalesce(c, F.slice(F.array(F.struct(F.array(F.lit(0.0)).alias("bbox"), F.lit("").alias("text"))), 1, 0))
-    short = lambda c: empty(F.transform(c, lambda r: F.struct(r["bbox"].alias("bbox"), r["text"].alias("text"))))
-    given, held = short(predictions), short(reference_set(trusted, original, least_original))
-    found = greedy_match(F.transform(given, lambda r: r["bbox"]), F.transform(held, lambda r: r["bbox"]), least_overlap)
-    read = collapsed_list(F.transform(given, lambda r: r["text"]))
-    known = collapsed_list(F.transform(found, lambda k: F.get(held, k)["text"]))
-    same = F.zip_with(read, known, lambda a, b: a.eqNullSafe(b))
-    pairs = F.zip_with(same, found, lambda s, k: F.when(k < 0, "none").when(s, "match").otherwise("conflict"))
-    count = lambda what: F.size(F.filter(pairs, lambda x: x == what))
-    missing = F.size(held) - F.size(F.filter(found, lambda k: k >= 0))
-    status = reference_status(count("conflict"), count("none"), missing, F.size(given))
-    return F.struct(status.alias("status"), count("conflict").alias("conflicts"), count("none").alias("unmatched"), missing.alias("missing"))
+    nothing = F.slice(F.array(F.struct(F.array(F.lit(0.0)).alias("bbox"), F.lit("").alias("text"))), 1, 0)
+    short = lambda c: F.coalesce(F.transform(c, lambda r: F.struct(r["bbox"].alias("bbox"), r["text"].alias("text"))), nothing)
+    part = lambda c, name: F.transform(c, lambda r: r[name])
+    out = rows.withColumn("__given", short(F.col(predictions))).withColumn("__held", short(reference_set(F.col(trusted), F.col(original), least_original)))
+    out = out.withColumn("__found", greedy_match(part("__given", "bbox"), part("__held", "bbox"), least_overlap))
+    out = out.withColumn("__read", collapsed_list(part("__given", "text")))
+    out = out.withColumn("__known", collapsed_list(F.transform("__found", lambda k: F.get("__held", k)["text"])))
+    same = F.zip_with("__read", "__known", lambda a, b: a.eqNullSafe(b))
+    out = out.withColumn("__pairs", F.zip_with(same, "__found", lambda s, k: F.when(k < 0, "none").when(s, "match").otherwise("conflict")))
+    count = lambda what: F.size(F.filter("__pairs", lambda x: x == what))
+    missing = F.size("__held") - F.size(F.filter("__found", lambda k: k >= 0))
+    status = reference_status(count("conflict"), count("none"), missing, F.size("__given"))
+    found = F.struct(status.alias("status"), count("conflict").alias("conflicts"), count("none").alias("unmatched"), missing.alias("missing"))
+    return out.withColumn("reference", found).drop("__given", "__held", "__found", "__read", "__known", "__pairs")

@@ -18,12 +18,16 @@ def greedy_match(takers: Column, offered: Column, least: float) -> Column:
     """
     nothing = F.array().cast("array<int>")
 
-    def step(used: Column, box: Column) -> Column:
-        scored = F.transform(offered, lambda o, k: F.struct(F.when(F.array_contains(used, k.cast("int")), F.lit(-1.0)).otherwise(geometry.iou(box, o)).alias("s"), (-k).alias("k")))
-        best = F.array_max(scored)
-        return F.concat(used, F.array(F.when(best["s"] >= least, (-best["k"]).cast("int")).otherwise(F.lit(-1))))
+    def matched(boxes: Column) -> Column:
+        def step(used: Column, box: Column) -> Column:
+            score = lambda o, k: F.when(F.array_contains(used, k.cast("int")), F.lit(-1.0)).otherwise(geometry.iou(box, o))
+            scored = F.transform(boxes, lambda o, k: F.struct(score(o, k).alias("s"), (-k).alias("k")))
+            found = geometry.once(F.array_max(scored), lambda best: F.when(best["s"] >= least, (-best["k"]).cast("int")).otherwise(F.lit(-1)))
+            return F.concat(used, F.array(found))
 
-    return F.when(takers.isNull(), nothing).when(offered.isNull() | (F.size(offered) <= 0), F.transform(takers, lambda b: F.lit(-1))).otherwise(F.aggregate(takers, nothing, step))
+        return F.when(boxes.isNull() | (F.size(boxes) <= 0), F.transform(takers, lambda b: F.lit(-1))).otherwise(F.aggregate(takers, nothing, step))
+
+    return F.when(takers.isNull(), nothing).otherwise(geometry.once(offered, matched))
 
 
 @F.pandas_udf(ArrayType(IntegerType()))

@@ -104,9 +104,9 @@ def crops(records: DataFrame, settings: Curation) -> DataFrame:
         return F.transform(F.filter(c, lambda r: geometry.contains(crop, r["bbox"])), lambda r: moved(r, F.transform(r["polygon"], shift)))
 
     rows = rows.withColumn("trusted", within("__annotations")).withColumn("original", within("__original")).withColumn("predictions", within("__final"))
-    check = gates.reference_check(F.col("predictions"), F.col("trusted"), F.col("original"), settings.least_overlap, settings.least_original)
-    rows = rows.withColumn("reference", check)
-    read = F.size(gates.text_rejections(F.col("predictions"), settings.least_confidence)) == 0
+    rows = gates.reference_checked(rows, "predictions", "trusted", "original", settings.least_overlap, settings.least_original)
+    rows = rows.withColumn("__read", F.size(gates.text_rejections(F.col("predictions"), settings.least_confidence)) == 0)
+    read = F.col("__read")
     scores = {r.name: F.when(read, F.col("scores")[r.name]) for r in settings.rules}
     decision = gates.assess(
         F.col("predictions"), F.col("reference.status"), F.when(read, F.col("glyph_status")), scores, list(settings.rules),
