@@ -30,8 +30,8 @@ from . import common
 
 #: Slots of a signature; chance that a pair at the similarity asked for shares no band; rounds with one pivot a bucket.
 SLOTS, MISS, PIVOT_ROUNDS = 252, 1e-5, 2
-#: Members of a block of a bucket.
-BLOCK = 512
+#: Members of a block of a bucket. A bucket with more than a ``HOT``-th of all members is hot; a join on bucket keys deals its members to ``SALTS`` tasks.
+BLOCK, HOT, SALTS = 512, 1024, 32
 _GOLD, _A, _B, _C = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB, 0xD6E8FEB86659FD93))
 _NONE = np.uint64(0xFFFFFFFFFFFFFFFF)
 
@@ -265,7 +265,17 @@ def _links(table: pa.Table, pairs: Iterator[tuple[int, np.ndarray]], percent: in
     return out
 
 
-def _block_links(rows: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+def _by_key(members: DataFrame, keys: DataFrame, hot: list[int]) -> DataFrame:
+    """``members`` joined with a row for each bucket key; members of hot buckets, of which there are less than ``HOT``, are dealt out, and the keys' rows copied to them."""
+    if not hot:
+        return members.join(keys, "key")
+    is_hot = F.col("key").isin(hot)
+    salt = F.when(is_hot, F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int")).otherwise(0)
+    every = F.when(is_hot, F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))
+    return members.withColumn("__salt", salt).join(keys.withColumn("__salt", F.explode(every)), ["key", "__salt"]).drop("__salt")
+
+
+def _block_links(rows: DataFrame, sets: DataFrame, percent: int, hot: list[int]) -> DataFrame:
     """Links (a, b) that join documents of a bucket and different groups; between two groups of a block one is enough.
 
     ``rows``: key, band, doc_id, n_shingles, group, slots and bands, all band keys of the document. Members of a large bucket are
@@ -291,7 +301,7 @@ def _block_links(rows: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
     spark = rows.sparkSession
     sizes = rows.groupBy("key").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("n"))
-    dealt = rows.join(sizes, "key").withColumn("block", F.pmod(F.xxhash64("doc_id"), F.col("n")).cast("int"))
+    dealt = _by_key(rows, sizes, hot).withColumn("block", F.pmod(F.xxhash64("doc_id"), F.col("n")).cast("int"))
     dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("n") - 1)))
     lo, hi = F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi")
     dealt = dealt.select("key", lo, hi, "block", "band", "doc_id", "n_shingles", "group", "slots", "bands")
@@ -341,8 +351,11 @@ def near_duplicates(documents: DataFrame, width: int = 5, percent: int = 80) ->
     of_class = common.stored(some.select("doc_id", "digest").distinct().join(classes, "digest").select("doc_id", "rep"), "classes")
     reps = some.join(of_class.where("doc_id = rep").select("doc_id").distinct(), "doc_id", "left_semi")
     rows = reps.select("doc_id", "n_shingles", F.posexplode("bands").alias("band", "key"))
-    shared = rows.groupBy("key").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).where("lo <> hi").select("key")
-    buckets = common.stored(rows.join(shared, "key").select("key", F.col("band").cast("int").alias("band"), "doc_id", "n_shingles"), "buckets")
+    shared = rows.groupBy("key").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi"), F.count(F.lit(1)).alias("n")).where("lo <> hi").select("key", "n")
+    shared = common.stored(shared, "shared")
+    total = shared.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    hot = [r["key"] for r in shared.where(F.col("n") * HOT > F.lit(total)).select("key").collect()]  # less than HOT
+    buckets = common.stored(_by_key(rows, shared.select("key"), hot).select("key", F.col("band").cast("int").alias("band"), "doc_id", "n_shingles"), "buckets")
     members = buckets.select("doc_id").distinct()
     texts = documents.select("doc_id", "text").join(members, "doc_id", "left_semi")
     sets = common.stored(_sets(texts, width), "sets")
@@ -352,18 +365,18 @@ def near_duplicates(documents: DataFrame, width: int = 5, percent: int = 80) ->
         now = buckets.withColumn("group", F.col("doc_id")) if groups is None else buckets.join(groups.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn("group", F.coalesce("component", "doc_id")).drop("component")
         if turn:  # buckets of a single component have nothing left
             open_ = now.groupBy("key").agg(F.min("group").alias("lo"), F.max("group").alias("hi")).where("lo <> hi").select("key")
-            now = common.stored(now.join(open_, "key"), "open")
+            now = common.stored(_by_key(now, open_, hot), "open")
         if turn < PIVOT_ROUNDS:
             by = F.xxhash64("doc_id", F.lit(turn)) if not turn else F.xxhash64("doc_id", "key", F.lit(turn))
             pivot = now.groupBy("key").agg(F.min_by(F.struct("doc_id", "n_shingles", "group"), F.struct(by, "doc_id")).alias("p")).select("key", F.col("p.doc_id").alias("other"), F.col("p.n_shingles").alias("m_shingles"), F.col("p.group").alias("other_group"))
-            pairs = now.join(pivot, "key").where((F.col("group") != F.col("other_group")) & fits).select(F.greatest("doc_id", "other").alias("a"), F.least("doc_id", "other").alias("b")).distinct()
+            pairs = _by_key(now, pivot, hot).where((F.col("group") != F.col("other_group")) & fits).select(F.greatest("doc_id", "other").alias("a"), F.least("doc_id", "other").alias("b")).distinct()
             if done is not None:
                 pairs = pairs.join(done, ["a", "b"], "left_anti")
             pairs = common.stored(pairs, "pairs")
             found = common.stored(_verified(pairs, sets, percent), "links")
             done = pairs if done is None else done.union(pairs)
         else:  # all that is left
-            found = common.stored(_block_links(now.join(reps.select("doc_id", "slots", "bands"), "doc_id"), sets, percent), "links")
+            found = common.stored(_block_links(now.join(reps.select("doc_id", "slots", "bands"), "doc_id"), sets, percent, hot), "links")
         if not turn or not found.isEmpty():
             links = found if links is None else links.union(found)
             groups = components(links if groups is None else groups.select(F.col("node").alias("a"), F.col("component").alias("b")).union(found))

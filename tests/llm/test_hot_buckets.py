@@ -11,7 +11,7 @@ def test_a_band_is_shared_by_its_key_only(spark):
     rows = [(k, b, d, 100, d, bytes(neardup.SLOTS), bands[d]) for d in (0, 1) for b, k in ((3, 3), (4, 4))]
     table = spark.createDataFrame(rows, "key long, band int, doc_id long, n_shingles long, group long, slots binary, bands array<long>")
     sets = spark.createDataFrame([(d, bytes(range(80))) for d in (0, 1)], "doc_id long, elements binary")
-    assert [tuple(r) for r in neardup._block_links(table, sets, 85).collect()] == [(1, 0)]
+    assert [tuple(r) for r in neardup._block_links(table, sets, 85, [3]).collect()] == [(1, 0)]
 
 
 def test_the_filter_loses_less_than_the_bands():
