@@ -16,6 +16,7 @@ sample count once. Half of the sample makes the dictionaries, the other half the
 from __future__ import annotations
 
 import math
+import uuid
 from collections import Counter
 from collections.abc import Callable
 
@@ -109,19 +110,24 @@ def _trained(texts: list[bytes], size: int = DICTIONARY, **kind: int) -> bytes:
         return b" ".join(x[:room] for x in parts)[-size:].rjust(16)
 
 
+#: The compressors of the scorer that this Python worker used last, by its token: a worker outlives many scorers.
+_LIVE: dict[str, tuple] = {}
+
+
 class _Scorer:
-    """Dictionaries, scaling and weights; compressors are made once a Python worker."""
+    """Dictionaries, scaling and weights. Only one scorer at a time has its compressors in a Python worker."""
 
     def __init__(self, dictionaries: tuple):
-        self.dictionaries, self.weights, self.mean, self.scale, self._made = dictionaries, None, None, None, None
-
-    def __getstate__(self) -> dict:
-        return {**self.__dict__, "_made": None}
+        self.dictionaries, self.weights, self.mean, self.scale, self.token = dictionaries, None, None, None, uuid.uuid4().hex
 
     def made(self) -> tuple:
-        if self._made is None:
-            self._made = tuple(map(_compressor, self.dictionaries))
-        return self._made
+        if self.token not in _LIVE:
+            _LIVE.clear()
+            _LIVE[self.token] = self.compressors()
+        return _LIVE[self.token]
+
+    def compressors(self) -> tuple:
+        return tuple(map(_compressor, self.dictionaries))
 
     def inputs(self, text: str) -> list[float]:
         raise NotImplementedError
@@ -138,7 +144,7 @@ class _Scorer:
         return self
 
     def score(self, texts: pd.Series) -> pd.Series:
-        common.claim("codes", _CODES.clear)
+        common.claim("scorer", lambda: (_CODES.clear(), _LIVE.clear()))
         x = np.array([self.inputs(t or "") for t in texts], float).reshape(len(texts), len(self.mean))
         z = (x - self.mean) / self.scale @ self.weights[:-1] + self.weights[-1]
         return pd.Series(1 / (1 + np.exp(-np.clip(z, -30, 30))))
@@ -196,7 +202,7 @@ def _matcher(data: bytes) -> Callable[[bytes], bytes]:
         window_log=log + 1,
         chain_log=log,
         hash_log=log,
-        search_log=3,
+        search_log=4,
         min_match=7,
         target_length=32,
         strategy=zstandard.STRATEGY_LAZY2,
@@ -208,11 +214,9 @@ def _matcher(data: bytes) -> Callable[[bytes], bytes]:
 class ToxicScorer(_Scorer):
     """``dictionaries``: what was trained on toxic and on ordinary windows, and the ordinary text that both compressors have beside it."""
 
-    def made(self) -> tuple:
-        if self._made is None:
-            toxic, ordinary, shared = self.dictionaries
-            self._made = _matcher(toxic + shared), _matcher(ordinary + shared)
-        return self._made
+    def compressors(self) -> tuple:
+        toxic, ordinary, shared = self.dictionaries
+        return _matcher(toxic + shared), _matcher(ordinary + shared)
 
     def gains(self, text: str) -> np.ndarray:
         """Per window, the bytes that the toxic dictionary saves against the ordinary one."""
