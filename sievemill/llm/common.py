@@ -2,8 +2,14 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import functools
+import gc
+from collections.abc import Callable, Iterator
 from weakref import WeakKeyDictionary
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
@@ -18,18 +24,50 @@ _CLAIMS: dict = {}
 _PATHS: WeakKeyDictionary = WeakKeyDictionary()
 
 
-def claim(name: str, clear) -> None:
+def claim(name: str, clear: Callable[[], None]) -> None:
     """Makes ``name`` the one that keeps a cache in this Python worker: those of other operators, which a reused worker still holds, are cleared."""
-    for other in [x for x in _CLAIMS if x != name]:
+    others = [x for x in _CLAIMS if x != name]
+    for other in others:
         _CLAIMS.pop(other)()
+    if others:
+        tidy()
     _CLAIMS[name] = clear
 
 
+def tidy() -> None:
+    """Gives memory that nothing uses back to the system: a worker outlives its tasks, and its libraries keep what they have had."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # another C library
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+
+
+def tidied(of: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
+    """``of``, a function from batches to batches, that tidies up when a task ends."""
+
+    @functools.wraps(of)
+    def run(frames: Iterator) -> Iterator:
+        yield from of(frames)
+        tidy()
+
+    return run
+
+
+#: Rows of an Arrow batch that a task and its Python worker exchange while a table is written: rows may be long, and several copies of a batch are held at a time.
+BATCH = 1000
+_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
 def stored(df: DataFrame, what: str = "table") -> DataFrame:
     """``df`` written as Parquet in the shared folder and read again: cuts the lineage and survives lost executors. ``dropped`` deletes it."""
     spark = df.sparkSession
     path = scratch(spark, what)
-    df.write.parquet(path)
+    before = spark.conf.get(_ROWS)
+    spark.conf.set(_ROWS, str(min(BATCH, int(before)) if int(before) > 0 else BATCH))
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(_ROWS, before)
     back = spark.read.schema(df.schema).parquet(path)
     _PATHS[back] = path
     return back

@@ -170,7 +170,7 @@ def sketches(documents: DataFrame, width: int, similarity: float) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([ids.slice(at, len(counts)), pa.array(counts), pa.array(digests, pa.binary()), pa.array(lists, pa.list_(pa.int64())), pa.array(short, pa.binary())], ["doc_id", "n_shingles", "digest", "bands", "slots"])
                 at += len(counts)
 
-    return documents.select("doc_id", "text").mapInArrow(run, "doc_id long, n_shingles long, digest binary, bands array<long>, slots binary")
+    return documents.select("doc_id", "text").mapInArrow(common.tidied(run), "doc_id long, n_shingles long, digest binary, bands array<long>, slots binary")
 
 
 def _sets(documents: DataFrame, width: int) -> DataFrame:
@@ -185,7 +185,7 @@ def _sets(documents: DataFrame, width: int) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([ids.slice(at, len(counts)), pa.array([elements[e - c : e].tobytes() for e, c in zip(ends, counts, strict=True)], pa.binary())], ["doc_id", "elements"])
                 at += len(counts)
 
-    return documents.mapInArrow(run, "doc_id long, elements binary")
+    return documents.mapInArrow(common.tidied(run), "doc_id long, elements binary")
 
 
 def _alike(p: np.ndarray, q: np.ndarray, percent: int) -> bool:
@@ -206,7 +206,7 @@ def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays([frame.column(0), frame.column(1)], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
     left, right = sets.select(F.col("doc_id").alias("a"), F.col("elements").alias("x")), sets.select(F.col("doc_id").alias("b"), F.col("elements").alias("y"))
-    return pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
+    return pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInArrow(common.tidied(run), "a long, b long")
 
 
 def _grouped(frames: Iterator[pa.RecordBatch], n_keys: int) -> Iterator[pa.Table]:
@@ -307,8 +307,8 @@ def _block_links(rows: DataFrame, sets: DataFrame, percent: int, hot: list[int])
     dealt = dealt.select("key", lo, hi, "block", "band", "doc_id", "n_shingles", "group", "slots", "bands")
     met = lambda frame: frame.repartition(common.partitions(spark), *keys).sortWithinPartitions(*keys, "doc_id")
     kind = "key long, lo int, hi int, block int, band int, doc_id long, n_shingles long, group long, slots binary, bands array<long>"
-    left = common.stored(met(dealt).mapInArrow(some, kind), "candidates")
-    return met(left.join(sets, "doc_id").select(*[c.split()[0] for c in kind.split(", ")], "elements")).mapInArrow(compare, "a long, b long")
+    left = common.stored(met(dealt).mapInArrow(common.tidied(some), kind), "candidates")
+    return met(left.join(sets, "doc_id").select(*[c.split()[0] for c in kind.split(", ")], "elements")).mapInArrow(common.tidied(compare), "a long, b long")
 
 
 def _mark(edges: DataFrame) -> tuple:

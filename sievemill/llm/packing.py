@@ -98,7 +98,7 @@ def pieces(documents: DataFrame, tokenizer: str, capacity: int = CAPACITY, end:
                 )
 
     rows = documents.select("doc_id", F.monotonically_increasing_id().alias("copy"), "text")
-    return rows.mapInArrow(run, "doc_id long, copy long, piece int, start long, length long, ids_crc32 long")
+    return rows.mapInArrow(common.tidied(run), "doc_id long, copy long, piece int, start long, length long, ids_crc32 long")
 
 
 def pack_documents(documents: DataFrame, tokenizer: str, capacity: int = CAPACITY, shard: int = SHARD) -> DataFrame:

@@ -248,7 +248,7 @@ def table(documents: DataFrame, tokenizer: str) -> DataFrame:
                 sizes = pc.fill_null(pc.binary_length(texts), 0).cast(pa.int64())
                 yield pa.RecordBatch.from_arrays([frame.column(0)[part], sizes, pa.array(n), pa.array(last, pa.int64()), pa.array([_packed(x, press) for x in own], pa.binary())], ["doc_id", "n_bytes", "n_chars", "n_tokens", "prefixes"])
 
-    return documents.select("doc_id", "text").mapInArrow(run, "doc_id long, n_bytes long, n_chars long, n_tokens long, prefixes binary")
+    return documents.select("doc_id", "text").mapInArrow(common.tidied(run), "doc_id long, n_bytes long, n_chars long, n_tokens long, prefixes binary")
 
 
 def longest(prefixes: Column, n_tokens: Column, n_chars: Column, budget: int) -> Column:

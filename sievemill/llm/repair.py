@@ -283,7 +283,7 @@ def write_blocks(documents: DataFrame, tokenizer: str, end: int = END, block: in
 
     n = common.partitions(documents.sparkSession)
     rows = documents.select("doc_id", "text").repartitionByRange(n, "doc_id", F.xxhash64("text")).sortWithinPartitions("doc_id", "text")
-    return common.stored(rows.mapInArrow(encode, "shard int, block int, n_documents long, n_ids long, doc_ids array<long>, payload binary"), "repair")
+    return common.stored(rows.mapInArrow(common.tidied(encode), "shard int, block int, n_documents long, n_ids long, doc_ids array<long>, payload binary"), "repair")
 
 
 def read_documents(blocks: DataFrame) -> DataFrame:
@@ -305,7 +305,7 @@ def read_documents(blocks: DataFrame) -> DataFrame:
     base = shards.select("shard", F.coalesce(F.sum("n").over(W.orderBy("shard").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("s"))
     inner = blocks.select("shard", "block", F.coalesce(F.sum("n_ids").over(W.partitionBy("shard").orderBy("block").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("b"))
     places = inner.join(base, "shard").select("shard", "block", (F.col("s") + F.col("b")).alias("base"))
-    read = blocks.select("shard", "block", "doc_ids", "payload").mapInArrow(decode, "shard int, block int, doc_id long, within long, n_tokens long, ids_crc32 long")
+    read = blocks.select("shard", "block", "doc_ids", "payload").mapInArrow(common.tidied(decode), "shard int, block int, doc_id long, within long, n_tokens long, ids_crc32 long")
     return read.join(places, ["shard", "block"]).select("doc_id", (F.col("base") + F.col("within")).alias("start"), "n_tokens", "ids_crc32", F.col("shard"), F.col("block"))
 
 

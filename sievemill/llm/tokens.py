@@ -245,7 +245,7 @@ class Chunked:
 class ChunkCoder(Chunked):
     """Ids of texts; about 60 bytes a chunk are remembered."""
 
-    def __init__(self, path: str, keep: int = 3_000_000):
+    def __init__(self, path: str, keep: int = 1_500_000):
         super().__init__(path, keep)
         from tokenizers import Tokenizer, pre_tokenizers
 
